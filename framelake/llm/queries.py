@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from framelake.llm.line_dedup import OP7_SQL, op7_line_dedup
 from framelake.llm.packing import op5_packing
+from framelake.llm.sharding import op10_interleave
 from framelake.llm.token_store import op1_token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op5_packing)}
+    return {f.__name__: f for f in (op1_token_store, op5_packing, op7_line_dedup, op10_interleave)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_line_dedup": OP7_SQL}
