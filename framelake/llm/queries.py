@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from framelake.llm.line_dedup import OP7_SQL, op7_line_dedup
 from framelake.llm.packing import op5_packing
+from framelake.llm.quality_rules import op4_quality_rules
 from framelake.llm.sharding import op10_interleave
+from framelake.llm.simhash import op6_simhash
 from framelake.llm.token_store import op1_token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op5_packing, op7_line_dedup, op10_interleave)}
+    return {f.__name__: f for f in (op1_token_store, op4_quality_rules, op5_packing, op6_simhash, op7_line_dedup, op10_interleave)}
 
 
 def oracle_sql() -> dict[str, str]:
