@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from framelake.llm.decontaminate import op9_decontaminate
 from framelake.llm.language import op3_language
 from framelake.llm.line_dedup import OP7_SQL, op7_line_dedup
 from framelake.llm.packing import op5_packing
@@ -18,7 +19,7 @@ from framelake.llm.toxicity import op2_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_toxicity, op3_language, op4_quality_rules, op5_packing, op6_simhash, op7_line_dedup, op8_quality_model, op10_interleave)}
+    return {f.__name__: f for f in (op1_token_store, op2_toxicity, op3_language, op4_quality_rules, op5_packing, op6_simhash, op7_line_dedup, op8_quality_model, op9_decontaminate, op10_interleave)}
 
 
 def oracle_sql() -> dict[str, str]:
