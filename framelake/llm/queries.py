@@ -12,7 +12,7 @@ from framelake.llm.line_dedup import OP7_SQL, op7_line_dedup
 from framelake.llm.packing import op5_packing
 from framelake.llm.quality_model import op8_quality_model
 from framelake.llm.quality_rules import op4_quality_rules
-from framelake.llm.sharding import op10_interleave
+from framelake.llm.sharding import OP10_SQL, op10_interleave
 from framelake.llm.simhash import op6_simhash
 from framelake.llm.token_store import op1_token_store
 from framelake.llm.toxicity import op2_toxicity
@@ -23,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": OP7_SQL}
+    return {"op7_line_dedup": OP7_SQL, "op10_interleave": OP10_SQL}

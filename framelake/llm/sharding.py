@@ -65,3 +65,21 @@ def interleave(docs: DataFrame, shards: int = 24, seed: int = 42) -> DataFrame:
 
 def op10_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleave(common.documents(spark, sf_dir))
+
+
+#: The checksum is computed by the byte, with a table made from its polynomial, as DuckDB has no crc32.
+OP10_SQL = r"""
+WITH RECURSIVE poly AS (
+  SELECT n::BIGINT AS n, n::BIGINT AS v, 0 AS k FROM range(256) t(n)
+  UNION ALL SELECT n, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM poly WHERE k < 8),
+crc AS (SELECT list(v ORDER BY n) AS tab FROM poly WHERE k = 8),
+d AS (SELECT doc_id, coalesce(text, '') AS text, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS stratum FROM documents),
+digits AS (SELECT doc_id, text, stratum, list_transform(string_split(hex(encode(text)), ''), lambda c: instr('0123456789ABCDEF', c) - 1) AS h FROM d),
+bytes AS (SELECT doc_id, stratum, octet_length(encode(text)) + 8 AS size, CASE WHEN text = '' THEN [] ELSE list_transform(range(len(h) // 2), lambda i: h[2 * i + 1] * 16 + h[2 * i + 2]) END AS b FROM digits),
+summed AS (SELECT doc_id, stratum, size, xor(list_reduce(b, lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS text_crc32 FROM bytes, crc),
+keyed AS (SELECT *, md5('42:' || doc_id) AS key FROM summed),
+ranked AS (SELECT *, (row_number() OVER (PARTITION BY stratum ORDER BY key, doc_id) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY stratum) AS fraction FROM keyed),
+placed AS (SELECT *, row_number() OVER (ORDER BY fraction, stratum, key, doc_id) - 1 AS place, count(*) OVER () AS total FROM ranked),
+cut AS (SELECT *, place * 24 // total AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INT) AS shard, place - (shard * total + 23) // 24 AS slot, CAST(NULL AS INT) AS grown_shard FROM cut
+"""
