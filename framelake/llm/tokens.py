@@ -1,26 +1,39 @@
-"""Token ids of whole texts through the tokenizers library, with a cache of pieces between white space.
+"""Token ids of whole texts through the tokenizers library, with caches of pieces between white space and of their parts.
 
-Both vocabularies split texts at white space before they merge, so a piece has the same ids alone as in its text. Texts
-with control characters that libraries class differently as white space are encoded as a whole.
+Both vocabularies split texts at white space before they merge, so a piece has the same ids alone as in its text. A new piece
+of Latin letters is split by the vocabulary's own pattern and its parts go to the library's model; other pieces go through
+the whole tokenizer, and texts with control characters that libraries class differently as white space do so unsplit.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 
-import numpy as np
+import regex
 
-#: Pieces kept by a worker at most; the cache starts anew beyond it.
-CACHE_PIECES = 500_000
+#: Pieces and parts kept by a worker at most; a cache starts anew beyond it.
+CACHE_PIECES = 400_000
 
-_ODD_SPACE = re.compile("[\\x1c-\\x1f\\x85\\u180e\\u200b-\\u200d\\u2060\\ufeff]")
+_ODD_SPACE = re.compile("[\x1c-\x1f\x85\u180e\u200b-\u200d\u2060\ufeff]")
 _SPLIT = {
     # white space is dropped by this vocabulary
     "drop": re.compile(r"\S+"),
     # one space belongs to the piece after it; the last white space before a word stands alone unless it is a space
     "lead": re.compile(r" ?\S+|\s+(?!\S)|\s+"),
 }
+#: The vocabularies' own patterns (fixed values), on lower-cased pieces where they lower-case.
+_PARTS = {
+    "drop": regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"),
+    "lead": regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"),
+}
+#: Letters up to here are composed and have the same lower case everywhere, but for a dotted capital I.
+_LATIN = "\u024f"
+_SELF = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_REST = [b for b in range(256) if b not in _SELF]
+#: The character that stands for each byte in a byte-level vocabulary.
+_BYTE = [chr(b) if b in _SELF else chr(256 + _REST.index(b)) for b in range(256)]
 _LOADED: dict[tuple[str, str], Encoder] = {}
 
 
@@ -31,8 +44,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.split = _SPLIT[mode].findall
+        self.model, self.lower = self.tokenizer.model, mode == "drop"
+        self.split, self.parts = _SPLIT[mode].findall, _PARTS[mode].findall
         self.cache: dict[str, bytes] = {}
+        self.part_cache: dict[str, bytes] = {}
 
     @staticmethod
     def of(path: str, mode: str) -> Encoder:
@@ -40,19 +55,37 @@ class Encoder:
             _LOADED[path, mode] = Encoder(path, mode)
         return _LOADED[path, mode]
 
-    def _direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _direct(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        spelt = "".join([_BYTE[b] for b in part.encode()])
+        ids = self.part_cache[part] = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+        return ids
+
+    def _piece(self, piece: str) -> bytes:
+        if max(piece) > _LATIN or "\u0130" in piece:
+            return self._direct(piece)
+        known = self.part_cache.get
+        return b"".join([known(p) or self._part(p) for p in self.parts(piece.lower() if self.lower else piece)])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; a null text has none."""
-        cache = self.cache
-        if len(cache) > CACHE_PIECES:
-            cache.clear()
-        pieces = [[] if not t else None if _ODD_SPACE.search(t) else self.split(t) for t in texts]
-        new = list({p for ps in pieces if ps for p in ps if p not in cache})
-        cache.update(zip(new, self._direct(new), strict=True))
-        get = cache.__getitem__
-        return [self._direct([t])[0] if ps is None else b"".join(map(get, ps)) for t, ps in zip(texts, pieces, strict=True)]
+        cache, out = self.cache, []
+        for held in (cache, self.part_cache):
+            if len(held) > CACHE_PIECES:
+                held.clear()
+        for text in texts:
+            if not text:
+                out.append(b"")
+            elif _ODD_SPACE.search(text):
+                out.append(self._direct(text))
+            else:
+                pieces = self.split(text)
+                for p in {*pieces}.difference(cache):
+                    cache[p] = self._piece(p)
+                out.append(b"".join([cache[p] for p in pieces]))
+        return out
 
 
 def batches(rows, text_of, limit: int = 4_000_000, count: int = 512):
