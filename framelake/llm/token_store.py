@@ -43,7 +43,11 @@ def _widen(data: bytes, wide: bool) -> bytes:
 
 def train_dictionary(docs: DataFrame, path: str, mode: str, end_id: int, wide: bool) -> bytes:
     """A dictionary from at most SAMPLE_DOCS documents of at most SAMPLE_CHARS characters; it affects size, never content."""
-    rows = docs.where(F.length("text").between(1, SAMPLE_CHARS)).select("text").orderBy(F.xxhash64("text")).limit(SAMPLE_DOCS).collect()
+    drawn = F.xxhash64("doc_id")
+    hashes = docs.select(drawn.alias("hash")).orderBy("hash").limit(SAMPLE_DOCS).collect()  # no text is read for the draw
+    most = hashes[-1][0] if hashes else 0
+    short = docs.where((drawn <= most) & F.length("text").between(1, SAMPLE_CHARS)).select("text").limit(SAMPLE_DOCS)
+    rows = sorted(short.collect())
     end = np.array([end_id], "<u4").tobytes()
     samples = [_narrow(x + end, wide) for x in Encoder.of(path, mode).encode([r[0] for r in rows])]
     try:
