@@ -34,7 +34,7 @@ class Limits:
 
 
 #: Items that one buffer holds at most, and bytes of their ids.
-BUFFER_ITEMS, BUFFER_BYTES = 4000, 48 << 20
+BUFFER_ITEMS, BUFFER_BYTES = 2000, 48 << 20
 
 
 @dataclass
@@ -70,35 +70,39 @@ def pack(items: list[Piece], limits: Limits, cut: bool, last: bool) -> tuple[lis
                 waiting.append(first)
         waiting.append(x)
     size = np.array([[x.length, 1, x.loss] for x in waiting], float).reshape(-1, 3)
-    alive = np.ones(len(waiting), bool)
+    share = size / room
     total = size[:, 0].sum()
-    while alive.any() and (last or total >= 2 * limits.tokens):
+
+    def remove(k):  # the last item takes its place
+        nonlocal size, share
+        waiting[k] = waiting[-1]
+        waiting.pop()
+        size[k], share[k] = size[-1], share[-1]
+        size, share = size[:-1], share[:-1]
+
+    while waiting and (last or total >= 2 * limits.tokens):
         free, content = room.copy(), []
-        while True:
-            score = ((size / room) @ (free / room)) * alive * (size <= free).all(1)
-            best = int(score.argmax()) if len(score) else 0
-            if score[best] <= 0:
-                if not (cut and free[0] >= 1 and free[1] >= 1 and alive.any()):
-                    break
-                best = int(np.where(alive, size[:, 0], -1).argmax())
-                length = min(int(free[0]), waiting[best].length - 1)
-                head, rest = _cut(waiting[best], length)
-                if head.loss > free[2] or length < 1:
+        while waiting and free[0] >= 1 and free[1] >= 1:
+            score = np.where((size[:, 0] <= free[0]) & (size[:, 2] <= free[2]), share @ (free / room), 0)
+            best = int(score.argmax())
+            if score[best] > 0:
+                x = waiting[best]
+                remove(best)
+            elif cut:  # nothing fits as it is: the longest item fills the rest
+                best = int(size[:, 0].argmax())
+                x, rest = _cut(waiting[best], min(int(free[0]), waiting[best].length - 1))
+                if x.loss > free[2] or x.length < 1:
                     break
-                content.append(head)
                 waiting[best] = rest
                 size[best] = rest.length, 1, rest.loss
-                free -= (head.length, 1, head.loss)
-                total -= head.length
+                share[best] = size[best] / room
             else:
-                content.append(waiting[best])
-                alive[best] = False
-                free -= size[best]
-                total -= size[best, 0]
-            if free[0] < 1 or free[1] < 1 or not alive.any():
                 break
-        bins += _powers(content) if cut and not alive.any() else [content]
-    return bins, [x for x, a in zip(waiting, alive, strict=True) if a]
+            content.append(x)
+            free -= (x.length, 1, x.loss)
+            total -= x.length
+        bins += _powers(content) if cut and not waiting else [content]
+    return bins, waiting
 
 
 def _powers(content: list[Piece]) -> list[list[Piece]]:
