@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,9 +27,13 @@ class HashEncoder:
         return hash_vector(text, "text", self.dimension, self.model_version)
 
 
-def numbered(df: DataFrame, order: list[str], name: str, parts: int = 64) -> DataFrame:
-    """df with the row's number from 0 in the order, without sorting all rows in one task: ranges are counted, then numbered."""
-    ranged = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()).sortWithinPartitions(*order)
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with the row's number from 0 in the order, without sorting all rows in one task: ranges are counted, then numbered.
+
+    The ranges are sampled, so they are kept for both uses: sampled twice, they could differ.
+    """
+    parts = max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
     inside = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
     counts = ranged.groupBy("_part").count()
     bases = counts.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))

@@ -402,11 +402,17 @@ def dep_set_equality(spark, sf_dir):
 
 
 @_query(f"""{_with('rectangles')} SELECT a.page_id, a.node_id AS a, b.node_id AS b FROM rectangles a JOIN rectangles b ON a.page_id = b.page_id AND a.node_id < b.node_id
-    AND a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h""")
+    AND a.x <= b.x + b.w AND b.x <= a.x + a.w AND a.y <= b.y + b.h AND b.y <= a.y + a.h""")
 def rect_overlaps(spark, sf_dir):
     return graph.overlaps(view(spark, sf_dir, "rectangles"))
 
 
+@_query(f"""{_with('rectangles')}, p AS (SELECT a.page_id, a.node_id AS a, b.node_id AS b, greatest(b.x - a.x - a.w, a.x - b.x - b.w, 0) AS dx, greatest(b.y - a.y - a.h, a.y - b.y - b.h, 0) AS dy
+    FROM rectangles a JOIN rectangles b ON a.page_id = b.page_id AND a.node_id < b.node_id) SELECT page_id, a, b FROM p WHERE (dx = 0 AND dy > 0 AND dy < 40) OR (dy = 0 AND dx > 0 AND dx < 40)""")
+def tight_gaps(spark, sf_dir):
+    return graph.tight_gaps(view(spark, sf_dir, "rectangles"))
+
+
 @_query(f"{_with('rectangles')} SELECT page_id, max(x + w) + 20 AS width, max(y + h) + 20 AS height, count(*) AS nodes, round((max(x + w) + 20) / (max(y + h) + 20), 3) AS aspect FROM rectangles GROUP BY page_id")
 def page_bounds(spark, sf_dir):
     return graph.page_bounds(view(spark, sf_dir, "rectangles"))

@@ -203,3 +203,28 @@ def test_chains_against_all_combinations(spark):
     by = [[r for r in rows if r[2] == e] for e in range(3)]
     every = sorted((-sum(r[4] for r in c), [r[3] for r in c]) for c in itertools.product(*by) if c[0][3] < c[1][3] < c[2][3])
     assert got == [(round(-s, 9), f) for s, f in every[:4]]
+
+
+def spec_of(**change):
+    import copy
+
+    node = {"id": "A", "title": "First", "subtitle": "s", "layer": "l", "type": "process", "criticality": "CORE", "criticality_scope": "c", "maturity": "PLANNED", "source_basis": "TEAM_DECISION", "fallback": "f", "group": "G"}
+    node |= {c: ["x"] for c in ("responsibility", "non_responsibility", "inputs", "processing", "implementations", "outputs", "artifacts", "metrics", "failure_modes")}
+    node |= {"architecture_owner": ["o"], "implementation_owner": ["o"], "reviewers": [], "dependencies": [], "next_modules": ["B"], "outputs": ["goes on"], "geometry": {"x": 0, "y": 0, "width": 100, "height": 50}}
+    other = copy.deepcopy(node) | {"id": "B", "dependencies": ["A"], "next_modules": [], "inputs": ["what goes on"], "geometry": {"x": 200, "y": 0, "width": 100, "height": 50}}
+    edge = {"id": "E", "source": "A", "target": "B", "label": "Goes on", "flow_type": "data"}
+    page = {"id": "P", "title": "t", "direction": "LR", "detail_level": "full", "mermaid_file": "p.mmd", "groups": [{"id": "G", "title": "g", "layer": "l", "geometry": {"x": 0, "y": 0, "width": 320, "height": 220}}]}
+    node.update(change.get("node", {}))
+    edge.update(change.get("edge", {}))
+    return {"owners": {"o": {}}, "styles": {"layers": {"l": {}}}, "pages": [page | {"nodes": [node, other], "edges": [edge]} | change.get("page", {})]}
+
+
+def test_spec_faults(spark):
+    from framelake.sources import spec
+
+    checks = lambda **change: sorted({r.check for r in spec.faults(spark, spec_of(**change)).collect()})
+    assert checks() == []
+    assert checks(node={"maturity": "OLD", "group": "H", "geometry": {"x": 150, "y": 0, "width": 50, "height": 50}}, edge={"label": "zz"}, page={"direction": "UP"}) == ["label without an interface", "maturity", "overlap", "page direction", "unknown group"]
+    assert checks(node={"next_modules": [], "fallback": " ", "id": "1A", "reviewers": ["z"]}, edge={"flow_type": "x"}) == ["empty fallback", "flow type", "node id", "orphan edge", "unknown reviewers"]
+    assert "A[\"First\"]" in spec.flowcharts(spark, spec_of()).head().text
+    assert {(r.field, r.value, r.nodes) for r in spec.summary(spark, spec_of()).collect()} >= {("maturity", "PLANNED", 2), ("architecture_owner", "o", 2)}
