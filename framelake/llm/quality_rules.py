@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from framelake.llm import common
 
-_SYMBOLS = "#*$%&|<>"
+_SYMBOLS, _BEYOND = "#*$%&|<>", bytes(range(128, 256))
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -41,6 +41,12 @@ def _repeat_words(words: list[bytes]) -> int:
     return int(marked.sum())
 
 
+def _is_plain(word: bytes) -> bool:
+    """Letters alone (all beyond ASCII count as letters), with stops or quotes after them."""
+    rest = word.translate(None, _BEYOND).rstrip(b".,;:!?\"')")
+    return rest.isalpha() or not rest and word[0] > 127
+
+
 def statistics(text: str | None) -> tuple[dict[str, int], dict[str, float]]:
     """The base counts, and what else the rules look at."""
     text = text or ""
@@ -53,7 +59,7 @@ def statistics(text: str | None) -> tuple[dict[str, int], dict[str, float]]:
         "n_dup_lines": len(lines) - len(set(lines)),
         "n_repeat_words": _repeat_words(words),
     }
-    n, plain = max(1, len(words)), sum(w.rstrip(b".,;:!?\"')").isalpha() or w[0] > 127 or w[-1] > 127 for w in words)
+    n, plain = max(1, len(words)), sum(map(_is_plain, words))
     ends = Counter(x.rstrip(common.SPACES)[-1] in ".!?\"')" for x in lines)
     more = {
         "symbols": base["n_symbols"] / n,
