@@ -23,7 +23,7 @@ PREDICTIONS = {
 
 
 def sample_videos(spark: SparkSession, version: str = "synthetic-v0.1") -> DataFrame:
-    """Two small videos."""
+    """Two small videos (fixed values)."""
     rows = [("demo_video_001", "videos/demo_video_001.mp4", "demo", 25.0, 250, 10000, 1920, 1080, True, version), ("demo_video_002", "videos/demo_video_002.mp4", "demo", 30.0, 360, 12000, 1280, 720, False, version)]
     return spark.createDataFrame(rows, schema.VIDEO)
 
