@@ -27,8 +27,8 @@ from framelake.llm import common
 
 _WORD = re.compile(r"[^\W\d_]+")
 ORDER, BITS, DISCOUNT = 4, 20, 0.75
-#: Words that a counting task or a scoring worker holds at most.
-HELD_WORDS = 300_000
+#: Words and n-grams that a counting task or a scoring worker holds at most; what is held starts anew beyond it.
+HELD_WORDS, HELD_GRAMS = 500_000, 1_000_000
 #: Bounds of the calibration sample: documents, and characters of one of them.
 SAMPLE_DOCS, SAMPLE_CHARS = 1500, 8192
 
@@ -124,22 +124,26 @@ class Models:
         self.word_rows: dict[str, int] = {}
         self.word_logs = np.empty((1024, len(self.langs)))
 
-    def _get(self, lang: int, size: int, what: str, at: int) -> float:
+    def _get(self, lang: int, size: int, what: str, at: np.ndarray) -> np.ndarray:
+        """Values at the slots, 0 where a slot is not occupied."""
         slots, values = self.tables[lang, size, what]
-        k = int(np.searchsorted(slots, at))
-        return float(values[k]) if k < len(slots) and slots[k] == at else 0.0
-
-    def log(self, gram: str) -> list[float]:
-        """Of each language, the log probability of the gram's last letter after the others."""
-        ends = [(slot(gram[-s:]), slot(gram[-s:-1])) for s in range(1, ORDER + 1)]
-        out = []
+        if not len(slots):
+            return np.zeros(len(at))
+        k = np.minimum(np.searchsorted(slots, at), len(slots) - 1)
+        return np.where(slots[k] == at, values[k], 0.0)
+
+    def logs(self, grams: list[str]) -> np.ndarray:
+        """Of each gram and language, the log probability of the gram's last letter after the others."""
+        whole = [np.array([slot(g[-s:]) for g in grams], "i4") for s in range(1, ORDER + 1)]
+        context = [np.array([slot(g[-s:-1]) for g in grams], "i4") for s in range(1, ORDER + 1)]
+        out = np.empty((len(grams), len(self.langs)))
         for lang in range(len(self.langs)):
-            p = 1 / self.letters
-            for s, (whole, context) in enumerate(ends, 1):
-                if total := self._get(lang, s, "all", context):
-                    n, kinds = self._get(lang, s, "n", whole), self._get(lang, s, "kinds", context)
-                    p = (max(n - DISCOUNT, 0) + DISCOUNT * kinds * p) / total
-            out.append(np.log(min(p, 1.0)))
+            p = np.full(len(grams), 1 / self.letters)
+            for s in range(1, ORDER + 1):
+                total = self._get(lang, s, "all", context[s - 1])
+                n, kinds = self._get(lang, s, "n", whole[s - 1]), self._get(lang, s, "kinds", context[s - 1])
+                p = np.where(total > 0, (np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds * p) / np.maximum(total, 1), p)
+            out[:, lang] = np.log(np.minimum(p, 1.0))
         return out
 
     @staticmethod
@@ -148,11 +152,11 @@ class Models:
 
     def _add(self, words: list[str]) -> None:
         own = [_grams(w) for w in words]
-        new = list({g for gs in own for g in gs}.difference(self.gram_rows))
-        self.gram_logs = self._grown(self.gram_logs, len(self.gram_rows) + len(new))
-        for g in new:
-            self.gram_logs[len(self.gram_rows)] = self.log(g)
-            self.gram_rows[g] = len(self.gram_rows)
+        if new := list({g for gs in own for g in gs}.difference(self.gram_rows)):
+            base = len(self.gram_rows)
+            self.gram_logs = self._grown(self.gram_logs, base + len(new))
+            self.gram_logs[base : base + len(new)] = self.logs(new)
+            self.gram_rows.update(zip(new, range(base, base + len(new)), strict=True))
         rows = np.fromiter((self.gram_rows[g] for gs in own for g in gs), "i8")
         starts = np.cumsum([0, *map(len, own)])[:-1]
         logs = np.add.reduceat(self.gram_logs[rows], starts)
@@ -166,8 +170,10 @@ class Models:
         words = words_of(text)
         if not words or not self.langs:
             return None
-        if len(self.word_rows) > HELD_WORDS:
+        if len(self.gram_rows) > HELD_GRAMS:
             self.clear()
+        if len(self.word_rows) > HELD_WORDS:
+            self.word_rows.clear()
         if new := list({*words}.difference(self.word_rows)):
             self._add(new)
         known = self.word_rows

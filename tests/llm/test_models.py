@@ -99,10 +99,10 @@ def test_language_models_against_brute_force(spark):
             counts[lang].update(language._grams(w))
     assert models.langs == ["de", "en"]
     for gram in ("  th", "that", "atz ", "xyz ", "   q"):
-        assert np.allclose(models.log(gram), [brute_log(counts[lang], gram, models.letters) for lang in ("de", "en")])
+        assert np.allclose(models.logs([gram])[0], [brute_log(counts[lang], gram, models.letters) for lang in ("de", "en")])
     for context in ("  t", "tha"):  # a distribution
         letters = {g[-1] for g in counts["en"]}
-        assert sum(math.exp(models.log(context + c)[1]) for c in letters) <= 1 + 1e-9
+        assert sum(math.exp(models.logs([context + c])[0, 1]) for c in letters) <= 1 + 1e-9
 
 
 def test_language_query(spark):
