@@ -30,6 +30,10 @@ from framelake.llm import common
 
 _WORD = re.compile(r"[^\W_]+")
 BLOCK_ITEMS, ITEM_WORDS = 2000, 512
+#: Of ASCII, all but letters and digits are gaps between words.
+_GAPS = "".join(chr(k) if chr(k).isalnum() else " " for k in range(128))
+#: Words in more documents than e^-COMMON of them carry next to no weight and are left out of the vectors, not of the checks.
+COMMON = 1.0
 
 
 @dataclass(frozen=True)
@@ -45,7 +49,9 @@ class Settings:
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    """Lower-cased runs of letters and digits."""
+    low = (text or "").lower()
+    return low.translate(_GAPS).split() if low.isascii() else _WORD.findall(low)  # the same words, faster
 
 
 def answer_words(text: str, words: list[str], idf: dict[str, float]) -> list[str]:
@@ -130,11 +136,17 @@ class Model:
         idf = {w: float(np.log((documents + 1) / (frequencies.get(w, 0) + 0.5))) for w in names}
         self.idf = np.array([max(idf[w], 0.01) for w in names])
         self.items = [[self.words[w] for w in ws] for ws in item_words]
+        self.rare = self.idf >= COMMON
+        for ids in self.items:
+            if not self.rare[ids].any():  # an item of common words alone keeps them
+                self.rare[ids] = True
         self.answers = [[self.words[w] for w in answer_words(t, ws, idf)] for (_, t), ws in zip(items, item_words, strict=True)]
         rows, self.owner = [], []
         for k, ids in enumerate(self.items):
             for a in self._starts(len(ids)):
-                terms, counts = np.unique(ids[a : a + settings.window], return_counts=True)
+                terms, counts = np.unique([i for i in ids[a : a + settings.window] if self.rare[i]], return_counts=True)
+                if not len(terms):
+                    continue
                 weights = counts * self.idf[terms]
                 rows.append((terms.tolist(), (weights / np.linalg.norm(weights)).tolist()))
                 self.owner.append(k)
@@ -152,12 +164,13 @@ class Model:
     def search(self, text: str | None) -> list[tuple[int, float, float, float]]:
         """item_id, cosine, LCS share and answer share of each item that the text has."""
         s = self.settings
-        own = [self.words.get(w, -1) for w in words_of(text)]
+        known = self.words.get
+        own = [known(w, -1) for w in words_of(text)]
         ids = np.array(own, "i8")
-        place = np.flatnonzero(ids >= 0)
+        place = np.flatnonzero(self.rare[ids] & (ids >= 0))
         if not len(place):
             return []
-        known = ids[place]
+        known = ids[place]  # of the weighted words
         blocks, cut = np.unique(place // s.stride, return_index=True)
         vectors = np.add.reduceat(self.latent[known], cut)
         squares = np.add.reduceat(self.idf[known] ** 2, cut)
@@ -191,11 +204,13 @@ class Model:
     def _shares(self, item: int, around: list[int]) -> tuple[float, float]:
         """The best LCS share in stretches of the item's length and half of it more, and the answer's share in all of them."""
         ids, answer = self.items[item], self.answers[item]
+        there = {*around}
+        if sum(i in there for i in ids) < self.settings.lcs_with_answer * len(ids):  # no order can save it
+            return 0.0, 0.0
         span = len(ids) + len(ids) // 2 + 2
         step = max(1, len(ids) // 4)
         stretches = [around[a : a + span] for a in range(0, max(1, len(around) - span + step), step)]
         share = max(lcs_length(ids, x) for x in stretches) / len(ids)
-        there = {*around}
         mass = self.idf[answer]
         return share, float(mass[[a in there for a in answer]].sum() / mass.sum())
 
