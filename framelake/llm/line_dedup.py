@@ -38,10 +38,13 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     ranged = lines.repartitionByRange(common.partitions_for(lines), "h1", "h2", "salt")
     stream = Window.partitionBy("h1", "h2", "salt").orderBy(F.col("doc_id").desc_nulls_last(), "text_key", "pos")
     first = (F.row_number().over(stream) == 1) | ~F.lag("doc_id").over(stream).eqNullSafe(F.col("doc_id"))
-    firsts = ranged.select("h1", "h2", "doc_id", first.alias("first")).where("first")
-    frequent = firsts.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("doc_id").alias("keeper")).where(F.col("docs") >= min_docs).drop("docs")
+    firsts = ranged.select("h1", "h2", "salt", "doc_id", first.alias("first")).where("first")
+    salted = firsts.groupBy("h1", "h2", "salt").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last"))  # in the same ranges
+    whole = Window.partitionBy("h1", "h2")  # at most a row for each salt
+    totals = salted.select("h1", "h2", "salt", F.sum("docs").over(whole).alias("docs"), F.max("last").over(whole).alias("keeper"))
+    frequent = totals.where(F.col("docs") >= min_docs).drop("docs")
 
-    dropped = lines.drop("salt").join(frequent, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    dropped = lines.join(frequent, ["h1", "h2", "salt"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     own = ["doc_id", "text_key"]
     dropped = dropped.select(*own, "pos").distinct()
     island = F.col("pos") - F.row_number().over(Window.partitionBy(*own).orderBy("pos"))
@@ -57,17 +60,22 @@ def kept_text(lines: F.Column, runs: F.Column) -> F.Column:
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs with _n_lines, _n_dropped and _kept (text without the dropped lines)."""
-    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
-    right = bitmaps.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.col("n_dropped").alias("_n_dropped"), F.col("runs").alias("_runs"))
-    same = keyed["doc_id"].cast("long").eqNullSafe(right["_doc"]) & (keyed["_text_key"] == right["_key"])
-    joined = keyed.join(right.hint("shuffle_hash"), same, "left")
+    """docs with _n_lines, _n_dropped and _kept (text without the dropped lines).
+
+    Texts are dealt once, to as many parts as their size asks for, and meet the far smaller bitmaps without being sorted.
+    """
+    parts = common.partitions_for(docs)
+    own = ["_doc", "_no_doc", "_text_key"]
+    ids = {"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_no_doc": F.col("doc_id").isNull()}
+    keyed = docs.withColumns(ids | {"_text_key": F.xxhash64("text")}).repartition(parts, *own)
+    right = bitmaps.withColumns(ids).select("_doc", "_no_doc", F.col("text_key").alias("_text_key"), F.col("n_dropped").alias("_n_dropped"), F.col("runs").alias("_runs"))
+    joined = keyed.join(right.repartition(parts, *own).hint("shuffle_hash"), own, "left")
     whole = F.coalesce(F.col("text"), F.lit(""))
     return joined.withColumns({
         "_n_lines": (F.char_length(whole) - F.char_length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1).cast("long"),
         "_n_dropped": F.coalesce("_n_dropped", F.lit(0)),
         "_kept": F.when(F.col("_runs").isNull(), whole).otherwise(kept_text(_lines(), F.col("_runs"))),
-    }).drop("_doc", "_key", "_runs", "_text_key")
+    }).drop(*own, "_runs")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
