@@ -28,6 +28,8 @@ from framelake.llm import common
 
 #: Top bits of a cell, and variants that a cell's task holds at once, about.
 CELL_BITS, HELD_VARIANTS = 8, 4_000_000
+#: Parts that one fingerprint's documents are dealt to.
+SALTS = 64
 _UPPER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BITS = np.unpackbits(np.arange(256, dtype="u1")[:, None], axis=1).astype("i4")
 
@@ -177,14 +179,16 @@ def components(links: DataFrame) -> DataFrame:
 def groups(prints: DataFrame, radius: int = 4, cell_bits: int = CELL_BITS) -> DataFrame:
     """prints (doc_id, fp, others) with component_id, the smallest doc_id reachable through links of at most radius bits, and
     root, one fingerprint of the group."""
-    least = common.materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
+    salted = prints.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))  # a frequent fingerprint's rows are dealt to parts
+    parts = common.materialise(salted.groupBy("fp", "_salt").agg(F.min("doc_id").alias("least")), "parts")
+    least = common.materialise(parts.groupBy("fp").agg(F.min("least").alias("least")), "prints")
     reach = components(common.materialise(near_links(least, radius, cell_bits), "links"))
     # a fingerprint is in the result once: roots are the smallest fingerprints, the id is the smallest doc_id of the group
     member = least.join(reach, least["fp"] == reach["node"])
     ids = member.groupBy("root").agg(F.min("least").alias("component"))
     mapped = reach.join(ids, "root").select(F.col("node").alias("fp"), "component", "root")
     per_print = least.join(mapped, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
-    return prints.join(per_print, "fp")
+    return salted.join(parts.drop("least").join(per_print, "fp"), ["fp", "_salt"]).drop("_salt")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,4 +204,5 @@ def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 4) -> DataFrame:
     prints = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__fp").alias("fp"), "__row")
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))
     kept = groups(prints, radius).groupBy("root").agg(best.alias("best")).select(F.col("best")["__row"].alias("__row"))
-    return marked.join(kept, "__row", "left_semi").select(*docs.columns)
+    parts = common.partitions_for(marked)  # texts are dealt by their size
+    return marked.repartition(parts, "__row").join(kept.repartition(parts, "__row").hint("shuffle_hash"), "__row", "left_semi").select(*docs.columns)
