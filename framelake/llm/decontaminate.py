@@ -3,7 +3,8 @@
 Benchmark items are cut into passages of words, weighted by TF-IDF whose document frequencies come from the whole corpus. A
 randomised SVD, whose products with the passage matrix are Spark jobs, gives the latent space. (It is the benchmark's passages
 that span it: what is orthogonal to all of them adds nothing to any cosine with them, and the corpus's own leading directions
-are but its commonest words.) Each document is cut into overlapping windows, each window is projected, and passages with a
+are but its commonest words.) Passages are dealt to spaces of at most as many passages as the rank, so a space holds its passages
+whole and a cosine in it is that of the words' vectors, however many passages there are. Each document is cut into overlapping windows, each window is projected, and passages with a
 cosine of at least the limit are candidates; a window's projected length bounds all its cosines, so most windows need no
 product. Candidates are checked on whole words: the longest common subsequence of item and text around the window, and the
 share of the item's answer (the words after its last question mark, else its rarest words) that the text has.
@@ -141,7 +142,7 @@ class Model:
             if not self.rare[ids].any():  # an item of common words alone keeps them
                 self.rare[ids] = True
         self.answers = [[self.words[w] for w in answer_words(t, ws, idf)] for (_, t), ws in zip(items, item_words, strict=True)]
-        rows, self.owner = [], []
+        rows, self.owner = [], []  # distinct terms and weights of each passage, and its item
         for k, ids in enumerate(self.items):
             for a in self._starts(len(ids)):
                 terms, counts = np.unique([i for i in ids[a : a + settings.window] if self.rare[i]], return_counts=True)
@@ -150,12 +151,26 @@ class Model:
                 weights = counts * self.idf[terms]
                 rows.append((terms.tolist(), (weights / np.linalg.norm(weights)).tolist()))
                 self.owner.append(k)
-        table = spark.createDataFrame(rows, "terms array<int>, weights array<double>").repartition(max(1, min(64, len(rows) // 500)))
-        right = randomised_svd(table, len(names), settings.rank)
-        self.latent = (self.idf[:, None] * right).astype("f4")  # what a word adds to a window's projection
-        latent = np.stack([np.array(w) @ right[t] for t, w in rows])
-        norms = np.linalg.norm(latent, axis=1, keepdims=True)
-        self.passages = (latent / np.maximum(norms, 1e-9)).astype("f4")
+        self.spaces, most = [], []
+        for own in np.array_split(np.arange(len(rows)), max(1, -(-len(rows) // settings.rank))):
+            if len(own):
+                self.spaces.append(self._space(spark, rows, own))
+                most.append(np.zeros(len(names)))
+            for k in own:
+                terms, weights = rows[k]
+                most[-1][terms] = np.maximum(most[-1][terms], self.idf[terms] * weights)
+        self.most = np.stack(most, 1) if most else np.zeros((len(names), 0))  # the most that a word adds to a window's product with a passage of each space
+
+    def _space(self, spark: SparkSession, rows: list, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """The latent space of the passages own, at most as many as the rank: each word's row of vectors (-1: none), what a word adds to a window's projection, the passages, and the first one's number."""
+        terms = np.unique(np.concatenate([rows[k][0] for k in own]))
+        row = np.full(len(self.idf), -1)
+        row[terms] = np.arange(len(terms))
+        held = [(row[rows[k][0]].tolist(), rows[k][1]) for k in own]
+        table = spark.createDataFrame(held, "terms array<int>, weights array<double>").repartition(1)
+        right = randomised_svd(table, len(terms), self.settings.rank)
+        latent = np.stack([np.array(w) @ right[t] for t, w in held])
+        return row, (self.idf[terms, None] * right).astype("f4"), latent.astype("f4"), int(own[0])
 
     def _starts(self, n: int) -> list[int]:
         """Every window but those that lie wholly in the one before."""
@@ -171,25 +186,38 @@ class Model:
         if not len(place):
             return []
         known = ids[place]  # of the weighted words
-        blocks, cut = np.unique(place // s.stride, return_index=True)
-        vectors = np.add.reduceat(self.latent[known], cut)
-        squares = np.add.reduceat(self.idf[known] ** 2, cut)
         per = s.window // s.stride
-        total = np.zeros((int(blocks[-1]) + per, vectors.shape[1]), "f4")
-        mass = np.zeros(len(total))
-        for j in range(per):  # the window that starts at block b has blocks b to b + per - 1; here at index b + per - 1
-            total[blocks + per - 1 - j] += vectors
-            mass[blocks + per - 1 - j] += squares
-        norm = np.sqrt(mass)
-        near = np.flatnonzero(np.linalg.norm(total, axis=1) >= s.cosine * np.maximum(norm, 1e-9))
-        if not len(near):
-            return []
-        cosines = total[near] @ self.passages.T / norm[near, None]
+        size = int(place[-1]) // s.stride + per
+
+        def windows(at: np.ndarray, values: np.ndarray) -> np.ndarray:
+            """Sums over windows of the values of words at places: the window that starts at block b has blocks b to b + per - 1; here at index b + per - 1."""
+            blocks, cut = np.unique(at // s.stride, return_index=True)
+            sums = np.add.reduceat(values, cut)
+            total = np.zeros((size, *sums.shape[1:]), sums.dtype)
+            for j in range(per):
+                total[blocks + per - 1 - j] += sums
+            return total
+
+        norm = np.maximum(np.sqrt(windows(place, self.idf[known] ** 2)), 1e-9)
+        able = windows(place, self.most[known]) >= s.cosine * norm[:, None] * (1 - 1e-5)
+        block = place // s.stride
+        hits = []
+        for k, (rows, latent, passages, first) in enumerate(self.spaces):
+            row = rows[known]
+            live = able[:, k]
+            used = (row >= 0) & np.logical_or.reduce([live[block + j] for j in range(per)])  # words of windows that can reach the limit
+            if not used.any():
+                continue
+            total = windows(place[used], latent[row[used]])
+            near = np.flatnonzero(live & (np.einsum("ij,ij->i", total, total) >= (s.cosine * norm) ** 2 * (1 - 1e-5)))
+            if len(near):
+                cosines = total[near] @ passages.T / norm[near, None]
+                hits += [(int(near[w]), first + p, float(cosines[w, p])) for w, p in np.argwhere(cosines >= s.cosine).tolist()]
         best: dict[int, tuple[float, float, float]] = {}
         done: set[tuple[int, int]] = set()
-        for w, p in np.argwhere(cosines >= s.cosine).tolist():
+        for w, p, cosine in sorted(hits):
             item = self.owner[p]
-            start = (int(near[w]) - per + 1) * s.stride
+            start = (w - per + 1) * s.stride
             size = len(self.items[item])
             if (item, start) in done:
                 continue
@@ -197,7 +225,7 @@ class Model:
             around = own[max(0, start - size) : start + s.window + size]
             share, answer = self._shares(item, around)
             if share >= s.lcs or share >= s.lcs_with_answer and answer >= s.answer:
-                found = share, answer, float(cosines[w, p])
+                found = share, answer, cosine
                 best[item] = max(best.get(item, found), found)
         return [(self.ids[k], c, share, answer) for k, (share, answer, c) in sorted(best.items())]
 

@@ -74,6 +74,17 @@ def test_paraphrases_are_found_and_quotations_are_left(planted, monkeypatch):
         assert all(1000 <= d < 2000 for d, _ in found)
 
 
+def test_verbatim_items_are_found_in_a_large_benchmark(spark):
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8))) for _ in range(5000)]
+    some = lambda n: [rng.choice(words) for _ in range(n)]
+    items = [some(rng.randrange(15, 60)) for _ in range(2000)]
+    docs = [(k, " ".join(some(60) + item + some(60))) for k, item in enumerate(items)] + [(k, " ".join(some(200))) for k in range(2000, 2500)]
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, benchmark).collect()} == {(k, k) for k in range(2000)}
+
+
 def test_clean_and_odd_rows(spark, odd_docs, no_docs):
     benchmark = spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog"), (2, None), (3, ""), (1, "it's 3.14? été naïve straße")], "item_id long, text string")
     docs = odd_docs.withColumns({"item_id": F.lit(5), "lcs": F.lit(1)})
