@@ -8,6 +8,9 @@ bounds memory. In a cell, equal variants are sorted together, each is linked to
 links' distances are verified, and a union-find keeps a spanning forest, so a group of any size yields fewer links than it
 has members. Groups across cells are joined by an iterated label exchange on tables in the shared folder.
 
+keep_one also links rows whose shingle sets have a Jaccard similarity of 0.8 or more, which lie far more than 4 bits apart: sets that
+share a band of MinHash values are compared whole. A bucket of equal bands leaves out comparisons within groups that it has found.
+
 Only distinct fingerprints take part; documents with equal ones are joined by the fingerprint's smallest doc_id.
 
 Defined cases: a text without words (null or empty too) has fingerprint zero; a null doc_id is ignored as a smallest id, and
@@ -30,22 +33,27 @@ from framelake.llm import common
 CELL_BITS, HELD_VARIANTS = 8, 4_000_000
 #: Parts that one fingerprint's documents are dealt to.
 SALTS = 64
+#: MinHash bands and values in each: sets of similarity 0.8 share a band with probability 1 - (1 - 0.8^4)^20 = 0.99997.
+BANDS, BAND_ROWS = 20, 4
 _UPPER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BITS = np.unpackbits(np.arange(256, dtype="u1")[:, None], axis=1).astype("i4")
 
 
-def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
-    """64 bits, each set if over half the shingles' XXH64 have it."""
+def shingle_hashes(text: str | None, shingle: int = 4, seed: int = 42) -> bytes:
+    """The XXH64 of each run of shingle words (of all words if there are fewer), big-endian."""
     words = (text or "").encode().translate(_UPPER).split()  # bytes split at space and U+0009 to U+000D only
-    if not words:
-        return 0
+    digest = xxhash.xxh64_digest
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), seed)
+        return digest(b" ".join(words), seed) if words else b""
     joined = memoryview(b" ".join(words))
     ends = np.cumsum(np.fromiter(map(len, words), "i8", len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    digest = xxhash.xxh64_digest
-    data = b"".join([digest(joined[a:b], seed) for a, b in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist(), strict=True)])
+    return b"".join([digest(joined[a:b], seed) for a, b in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist(), strict=True)])
+
+
+def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
+    """64 bits, each set if over half the shingles' XXH64 have it."""
+    data = shingle_hashes(text, shingle, seed)
     n = len(data) // 8
     columns = np.frombuffer(data, "u1").reshape(n, 8)  # big-endian
     if n < 64:
@@ -55,6 +63,82 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big")
 
 
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct hashes, sorted."""
+    return np.unique(np.frombuffer(shingle_hashes(text, shingle), ">u8").astype("u8"))
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """A hash of each band of MinHash values."""
+    factors = np.random.default_rng(7).integers(0, 2**63, BANDS * BAND_ROWS, dtype="u8") * np.uint64(2) + np.uint64(1)
+    least = np.full(len(factors), ~np.uint64(0))
+    for a in range(0, len(hashes), 4096):
+        least = np.minimum(least, (hashes[a : a + 4096, None] * factors).min(0))
+    return [xxhash.xxh64_intdigest(x.tobytes(), k) - (1 << 63) for k, x in enumerate(least.reshape(BANDS, BAND_ROWS))]
+
+
+def set_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Pairs of sets of at least the similarity that connect all such pairs."""
+    sizes = np.array([len(x) for x in sets])
+    group = np.arange(len(sets))
+    out = []
+    for k, own in enumerate(sets):
+        if (group == group[0]).all():
+            break
+        small, large = np.minimum(sizes, len(own)), np.maximum(sizes, len(own))
+        rest = np.flatnonzero((group != group[k]) & (np.arange(len(sets)) > k) & (small >= similarity * large - 1e-9))
+        if not len(rest):
+            continue
+        every = np.concatenate([sets[j] for j in rest])
+        both = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
+        shared = np.add.reduceat(both.astype("i8"), np.concatenate(([0], np.cumsum(sizes[rest])[:-1])))
+        near = rest[shared >= similarity * (sizes[rest] + len(own) - shared) - 1e-9]
+        out += [(k, j) for j in near.tolist()]
+        group[np.isin(group, group[near])] = group[k]
+    return out
+
+
+def similar_links(marked: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) of the fingerprints (__fp) of rows (__row, text) whose shingle sets have at least the similarity."""
+
+    def sign(parts):
+        for part in parts:
+            rows, fps, texts = (part.column(k).to_pylist() for k in range(3))
+            out = []
+            for row, fp, text in zip(rows, fps, texts, strict=True):
+                own = shingle_set(text, shingle)
+                if len(own):
+                    out.append((row, fp, xxhash.xxh128_digest(own.tobytes()), bands(own)))
+            columns = list(zip(*out, strict=True)) if out else [()] * 4
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["row", "fp", "same", "bands"])
+
+    def read(parts):
+        for part in parts:
+            sets = [shingle_set(t, shingle).tobytes() for t in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.binary())], names=["row", "fp", "hashes"])
+
+    def link(table):
+        fps = table.column("fp").to_pylist()
+        got = set_links([np.frombuffer(x, "u8") for x in table.column("hashes").to_pylist()], similarity)
+        return pa.table({"a": pa.array([fps[x] for x, _ in got], pa.int64()), "b": pa.array([fps[y] for _, y in got], pa.int64())})
+
+    texts = marked.select("__row", "__fp", "text")
+    signed = common.materialise(texts.mapInArrow(sign, "row long, fp long, same binary, bands array<long>"), "bands")
+    # equal sets are compared once, by their first row
+    firsts = common.materialise(signed.groupBy("same").agg(F.min(F.struct("row", "fp")).alias("first")).select("same", "first.row", "first.fp"), "firsts")
+    equal = signed.select("same", "fp").distinct().join(firsts.select("same", F.col("fp").alias("b")), "same").select(F.col("fp").alias("a"), "b").where("a <> b")
+    keyed = common.materialise(signed.join(firsts.select("row"), "row", "left_semi").select("row", F.explode("bands").alias("band")), "keyed")
+    # of bands that hold the same rows, one is compared
+    member = F.xxhash64("row").cast("decimal(38,0)")
+    buckets = keyed.groupBy("band").agg(F.count("*").alias("n"), F.sum(member).alias("members"), F.min("row").alias("least")).where("n > 1")
+    buckets = buckets.groupBy("n", "members", "least").agg(F.min("band").alias("band")).select("band")
+    wanted = common.materialise(keyed.join(buckets, "band", "left_semi"), "wanted")
+    sets = common.materialise(texts.join(wanted.select(F.col("row").alias("__row")).distinct(), "__row", "left_semi").mapInArrow(read, "row long, fp long, hashes binary"), "sets")
+    near = wanted.join(sets, "row").select("band", "fp", "hashes").groupBy("band").applyInArrow(link, "a long, b long")
+    return near.union(equal).distinct()
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, name: str = "fp") -> DataFrame:
     """docs with the fingerprint as a signed long."""
     common.small_batches(docs.sparkSession)
@@ -176,13 +260,14 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
-def groups(prints: DataFrame, radius: int = 4, cell_bits: int = CELL_BITS) -> DataFrame:
-    """prints (doc_id, fp, others) with component_id, the smallest doc_id reachable through links of at most radius bits, and
-    root, one fingerprint of the group."""
+def groups(prints: DataFrame, radius: int = 4, cell_bits: int = CELL_BITS, others: DataFrame | None = None) -> DataFrame:
+    """prints (doc_id, fp, others) with component_id, the smallest doc_id reachable through links of at most radius bits (and
+    other links of fingerprints, if there are any), and root, one fingerprint of the group."""
     salted = prints.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))  # a frequent fingerprint's rows are dealt to parts
     parts = common.materialise(salted.groupBy("fp", "_salt").agg(F.min("doc_id").alias("least")), "parts")
     least = common.materialise(parts.groupBy("fp").agg(F.min("least").alias("least")), "prints")
-    reach = components(common.materialise(near_links(least, radius, cell_bits), "links"))
+    links = near_links(least, radius, cell_bits)
+    reach = components(common.materialise(links.union(others) if others is not None else links, "links"))
     # a fingerprint is in the result once: roots are the smallest fingerprints, the id is the smallest doc_id of the group
     member = least.join(reach, least["fp"] == reach["node"])
     ids = member.groupBy("root").agg(F.min("least").alias("component"))
@@ -197,12 +282,13 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 4) -> DataFrame:
-    """docs with one row of each group, that of the smallest doc_id (null only if it has no other)."""
+def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 4, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group, that of the smallest doc_id (null only if it has no other). Rows are linked within the
+    radius, or by shingle sets of at least the Jaccard similarity."""
     marked = fingerprints(docs, shingle, name="__fp").withColumn("__row", F.monotonically_increasing_id())
     marked = common.materialise(marked, "marked")  # the row numbers are fixed from here on
     prints = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__fp").alias("fp"), "__row")
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))
-    kept = groups(prints, radius).groupBy("root").agg(best.alias("best")).select(F.col("best")["__row"].alias("__row"))
+    kept = groups(prints, radius, others=similar_links(marked, shingle, similarity)).groupBy("root").agg(best.alias("best")).select(F.col("best")["__row"].alias("__row"))
     parts = common.partitions_for(marked)  # texts are dealt by their size
     return marked.repartition(parts, "__row").join(kept.repartition(parts, "__row").hint("shuffle_hash"), "__row", "left_semi").select(*docs.columns)

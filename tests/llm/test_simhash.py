@@ -90,3 +90,62 @@ def test_keep_one(spark, odd_docs):
     ids = [r.doc_id for r in out.collect()]
     assert sorted(ids, key=str) == sorted([1, 2, 5, 6, 7, 9, None], key=str)
     assert simhash.keep_one(odd_docs.limit(0)).count() == 0
+
+
+def brute_sets(text, shingle=5):
+    words = (text or "").lower().split()
+    return {" ".join(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))} if words else set()
+
+
+def test_keep_one_reaches_a_similarity_of_four_fifths(spark):
+    rng = np.random.default_rng(3)
+    some = lambda n: [f"w{k}" for k in rng.integers(0, 4000, n)]
+    texts = []
+    for _ in range(60):  # copies with some words changed: similarities on both sides of 0.8, chains, equal sets, and a longer copy
+        base = some(int(rng.integers(60, 400)))
+        texts.append(base)
+        for _ in range(4):
+            base = list(base) if rng.random() < 0.5 else list(texts[-1])
+            for k in rng.integers(0, len(base), max(1, int(len(base) * rng.choice([0.005, 0.015, 0.022, 0.03, 0.06])))):
+                base[k] = f"x{rng.integers(0, 10**6)}"
+            texts.append(base)
+    texts += [["a", "b", "c", "d", "e"] * 20, ["a", "b", "c", "d", "e"] * 30 + ["a"], ["short", "one"], []]
+    texts = [" ".join(t) for t in texts]
+    sets = [brute_sets(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    prints = [brute_print(t, 5) for t in texts]
+    apart = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            near = shared and 10 * shared >= 8 * len(sets[i] | sets[j])
+            bits = (prints[i] ^ prints[j]).bit_count()
+            apart += bool(near and bits > 4)
+            if near or bits <= 4:
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    assert apart > 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == {find(k) for k in range(len(texts))}
+
+
+def test_set_links_connect_what_all_pairs_connect():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(np.concatenate([np.arange(40, dtype="u8"), rng.integers(100, 10**6, int(n), dtype="u8")])) for n in rng.integers(0, 14, 80)]
+    similar = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) - 1e-9
+
+    def roots(pairs):
+        label = list(range(len(sets)))
+        for a, b in pairs:
+            low, high = sorted((label[a], label[b]))
+            label = [low if x == high else x for x in label]
+        return label
+
+    links = simhash.set_links(sets, 0.8)
+    assert roots(links) == roots([(i, j) for i in range(80) for j in range(i) if similar(sets[i], sets[j])])
+    assert all(similar(sets[i], sets[j]) for i, j in links) and len(links) < 80
