@@ -2,8 +2,8 @@
 
 Texts are lower-cased runs of letters; a model predicts each letter, and the end of a run, from the three before it. All
 counts come from the whole training corpus: tasks count n-grams, Spark sums them and derives continuation counts (of how many
-contexts an n-gram ends). The models keep sums in a fixed number of hash slots for each language and order, as sorted arrays
-of occupied slots, so their size is bounded whatever the corpus. The language with the lowest cross-entropy per letter wins;
+contexts an n-gram ends). The models keep sums by the n-grams' 64-bit hashes for each language and order, as sorted arrays, so
+n-grams do not share counts, and the models grow with the distinct n-grams. The language with the lowest cross-entropy per letter wins;
 the score is calibrated on a bounded, hash-drawn sample of training documents, and so is the cross-entropy beyond which a
 prediction is marked as rejected (column accepted).
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from framelake.llm import common
 
 _WORD = re.compile(r"[^\W\d_]+")
-ORDER, BITS, DISCOUNT = 4, 20, 0.75
+ORDER, DISCOUNT = 4, 0.75
 #: Words and n-grams that a counting task or a scoring worker holds at most; what is held starts anew beyond it.
 HELD_WORDS, HELD_GRAMS = 500_000, 1_000_000
 #: Bounds of the calibration sample: documents, and characters of one of them.
@@ -71,11 +71,13 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 
 
 def slot(gram: str) -> int:
-    return xxhash.xxh64_intdigest(gram.encode(), 42) & ((1 << BITS) - 1)
+    """The hash as a signed long, as Spark's xxhash64 gives it."""
+    h = xxhash.xxh64_intdigest(gram.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
 
 
 def statistics(grams: DataFrame) -> DataFrame:
-    """lang, size, what, slot, value: by hash slot, `n` of each n-gram of a size (continuations below the highest), and of
+    """lang, size, what, slot, value: by hash, `n` of each n-gram of a size (continuations below the highest), and of
     each context of a size the sum of those (`all`) and how many n-grams it has (`kinds`)."""
     found = []
     level = grams
@@ -88,12 +90,12 @@ def statistics(grams: DataFrame) -> DataFrame:
     out = found[0]
     for part in found[1:]:
         out = out.unionByName(part)
-    hashed = out.withColumn("slot", F.xxhash64("gram").bitwiseAND(F.lit((1 << BITS) - 1)).cast("int"))
+    hashed = out.withColumn("slot", F.xxhash64("gram"))
     return hashed.groupBy("lang", "size", "what", "slot").agg(F.sum("value").alias("value"))
 
 
 class Models:
-    """All languages' models: for each size and figure, sorted slots and a value for each."""
+    """All languages' models: for each size and figure, sorted hashes and a value for each."""
 
     def __init__(self, table: pa.Table):
         self.langs = sorted(set(table.column("lang").to_pylist()))
@@ -106,7 +108,7 @@ class Models:
                 for w in ("n", "all", "kinds"):
                     own = np.flatnonzero((langs == lang) & (size == s) & (what == w))
                     own = own[np.argsort(slots[own])]
-                    self.tables[k, s, w] = slots[own].astype("i4"), value[own].astype("f8")
+                    self.tables[k, s, w] = slots[own].astype("i8"), value[own].astype("f8")
             self.letters = max(self.letters, len(self.tables[k, 1, "n"][0]) + 1)
         self.sharpness, self.limit = 1.0, np.inf
         self.clear()
@@ -125,7 +127,7 @@ class Models:
         self.word_logs = np.empty((1024, len(self.langs)))
 
     def _get(self, lang: int, size: int, what: str, at: np.ndarray) -> np.ndarray:
-        """Values at the slots, 0 where a slot is not occupied."""
+        """Values at the hashes, 0 where there is none."""
         slots, values = self.tables[lang, size, what]
         if not len(slots):
             return np.zeros(len(at))
@@ -134,8 +136,8 @@ class Models:
 
     def logs(self, grams: list[str]) -> np.ndarray:
         """Of each gram and language, the log probability of the gram's last letter after the others."""
-        whole = [np.array([slot(g[-s:]) for g in grams], "i4") for s in range(1, ORDER + 1)]
-        context = [np.array([slot(g[-s:-1]) for g in grams], "i4") for s in range(1, ORDER + 1)]
+        whole = [np.array([slot(g[-s:]) for g in grams], "i8") for s in range(1, ORDER + 1)]
+        context = [np.array([slot(g[-s:-1]) for g in grams], "i8") for s in range(1, ORDER + 1)]
         out = np.empty((len(grams), len(self.langs)))
         for lang in range(len(self.langs)):
             p = np.full(len(grams), 1 / self.letters)

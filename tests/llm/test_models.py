@@ -105,6 +105,19 @@ def test_language_models_against_brute_force(spark):
         assert sum(math.exp(models.logs([context + c])[0, 1]) for c in letters) <= 1 + 1e-9
 
 
+def test_ngrams_with_close_hashes_do_not_share_counts(spark):
+    seen = {}
+    for k in range(26**4):
+        gram = "".join(chr(97 + k // 26**j % 26) for j in range(4))
+        other = seen.setdefault(language.slot(gram) & ((1 << 20) - 1), gram)
+        if other != gram and other[:3] != gram[:3]:
+            break
+    text = f"{other} {other} {other} {gram[:3]}z"  # the context of gram is known, gram is not
+    models = language.fit(spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string"))
+    counts = Counter(g for w in text.split() for g in language._grams(w))
+    assert gram not in counts and np.allclose(models.logs([gram])[0], [brute_log(counts, gram, models.letters)])
+
+
 def test_language_query(spark):
     langs = {r.doc_id: r.lang for r in common.documents(spark, SF).collect()}
     got = language.op3_language(spark, SF).collect()
