@@ -39,4 +39,4 @@ def image_path(video_id: Column, frame: Column) -> Column:
 
 
 def shot_id(video_id: Column, number: Column) -> Column:
-    return F.concat(video_id, F.lit(":shot:"), F.lpad(number.cast("string"), 6, "0"))
+    return F.format_string("%s:shot:%06d", video_id, number.cast("long"))

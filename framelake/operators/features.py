@@ -51,6 +51,11 @@ def extract(frames: DataFrame, encoder: HashEncoder = HashEncoder(), artifact_pa
     )
 
 
+def encode(frames: DataFrame, encoder: HashEncoder = HashEncoder()) -> DataFrame:
+    """frame_uid and vector, without numbers: what a search needs."""
+    return frames.select("frame_uid", encoder.encode_frames(F.col("frame_uid")).alias("vector"))
+
+
 def store_faults(features: DataFrame) -> DataFrame:
     """One row: rows, whether feature_row runs from 0 without a gap, and whether all dimensions equal their vector's length."""
     return features.agg(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.functions import mapping
+from framelake.schema import refuse
 
 Detector = Callable[[DataFrame], DataFrame]
 Selector = Callable[[DataFrame, DataFrame], DataFrame]
@@ -27,7 +28,7 @@ def _frames(joined: DataFrame, frame, policy: str, version: str, strict: bool) -
     inside = mapping.frame_in_video(F.col("_frame"), F.col("total_frames"))
     joined = joined.withColumn("_frame", frame)
     if strict:
-        joined = joined.withColumn("_frame", F.when(inside, F.col("_frame")).otherwise(F.raise_error(F.concat(F.lit("frame is outside video "), "video_id")).cast("long")))
+        joined = refuse(joined, [(F.concat(F.lit("frame is outside video "), "video_id"), ~F.coalesce(inside, F.lit(False)))])
     else:
         joined = joined.where(inside)
     f = F.col("_frame")
@@ -52,6 +53,31 @@ def sampled_frames(videos: DataFrame, shots: DataFrame, policy: str = "UNIFORM_F
     return _frames(joined, F.col("_pick"), policy, version, False)
 
 
+def supplied_keyframes(videos: DataFrame, keyframes: DataFrame, version: str = "0.1", strict: bool = True) -> DataFrame:
+    """Frames that come with the videos (video_id, frame_id, shot_id if there is one); each once, whatever repeats.
+    strict: a frame without its video, or outside of it, is an error."""
+    shot = F.col("shot_id") if "shot_id" in keyframes.columns else F.lit(None).cast("string")
+    given = keyframes.select("video_id", F.col("frame_id").cast("long").alias("_pick"), shot.alias("shot_id")).groupBy("video_id", "_pick").agg(F.min("shot_id").alias("shot_id"))
+    joined = given.join(videos.select("video_id", "fps", "total_frames", "dataset_version"), "video_id", "left" if strict else "inner")
+    return _frames(joined, F.col("_pick"), "BTC_KEYFRAME", version, strict)
+
+
+def adaptive_frames(videos: DataFrame, shots: DataFrame, short_s: float = 5, medium_s: float = 15, interval_s: float = 5, max_gap_s: float = 5, version: str = "0.1") -> DataFrame:
+    """Frames by a shot's length (own design for the thresholds that are only named): its middle up to short_s seconds; its
+    first, middle and last frame up to medium_s; else a frame every interval_s, and the last. Gaps over max_gap_s are cut evenly."""
+    joined = shots.join(videos.select("video_id", "fps", "total_frames", "dataset_version"), "video_id")
+    first, last = F.col("start_frame"), F.col("end_frame")
+    seconds, middle = (last - first + 1) / F.col("fps"), mapping.center_frame(first, last)
+    step = F.greatest(F.lit(1), F.floor(F.col("fps") * interval_s)).cast("long")
+    picks = F.when(seconds <= short_s, F.array(middle)).when(seconds <= medium_s, F.array(first, middle, last)).otherwise(F.concat(F.sequence(first, last, step), F.array(last)))
+    joined = joined.withColumn("_picks", F.array_sort(F.array_distinct(picks)))
+    gap = F.greatest(F.lit(1), F.floor(F.col("fps") * max_gap_s)).cast("long")
+    next_pick = lambda k: F.coalesce(F.get(F.col("_picks"), k + 1), F.get(F.col("_picks"), k))
+    parts = lambda x, k: F.greatest(F.lit(1), F.ceil((next_pick(k) - x) / gap)).cast("long")
+    cut = F.transform("_picks", lambda x, k: F.transform(F.sequence(F.lit(0).cast("long"), parts(x, k) - 1), lambda j: x + F.floor(j * (next_pick(k) - x) / parts(x, k)).cast("long")))
+    return _frames(joined.withColumn("_pick", F.explode(F.array_distinct(F.flatten(cut)))), F.col("_pick"), "ADAPTIVE_MULTIFRAME", version, False)
+
+
 def frames_per_video(videos: DataFrame, frames: DataFrame) -> DataFrame:
     """video_id and frames, with 0 for a video without any."""
     counts = frames.groupBy("video_id").agg(F.count("*").alias("_n"))

@@ -35,7 +35,7 @@ VIEWS = {
     "rectangles": """SELECT 'p' || CAST(s_nationkey % 5 AS VARCHAR(20)) AS page_id, 'r' || CAST(s_suppkey AS VARCHAR(20)) AS node_id, CAST(s_suppkey * 37 % 4000 AS DOUBLE) AS x, CAST(s_suppkey * 91 % 3000 AS DOUBLE) AS y,
         CAST(200 + s_suppkey % 600 AS DOUBLE) AS w, CAST(100 + s_suppkey % 400 AS DOUBLE) AS h FROM supplier""",
 }
-_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "conversations")
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "conversations", "benchmark")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,9 +85,9 @@ def _ranked_cosine(spark, sf_dir, queries, k):
 
 
 @_query(f"""SELECT query_id, vec_id, round(s, 6) AS score, CAST(rank AS INT) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, {_COSINE} AS s,
-    row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COSINE} DESC, v.vec_id) AS rank FROM embeddings v, embeddings q WHERE q.vec_id < 20) WHERE rank <= 10""")
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COSINE} DESC, v.vec_id) AS rank FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0) WHERE rank <= 10""")
 def cosine_topk(spark, sf_dir):
-    return _ranked_cosine(spark, sf_dir, "vec_id < 20", 10)
+    return _ranked_cosine(spark, sf_dir, "vec_id % 50 = 0", 10)
 
 
 @_query(f"""SELECT query_id, vec_id, round(s, 6) AS score, CAST(rank AS INT) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, {_COSINE} AS s,
@@ -121,19 +121,31 @@ _CENTER = "CAST(floor((total_frames - 1) / 2.0) AS BIGINT)"
 _UID = f"'frm_' || substr(sha256(dataset_version || '|' || video_id || '|' || CAST({_CENTER} AS VARCHAR) || '|SHOT_CENTER|0.1'), 1, 20)"
 
 
-@_query()
+def _hash_sql(value: str, namespace: str, dimension: int) -> str:
+    """The unit vector of hash_vector() as a list of DOUBLE in SQL."""
+    seed = f"encode('{namespace}|' || {value} || '|0.1')"
+    blocks = " || ".join(f"sha256({seed} || '\\x00\\x00\\x00\\x{k:02x}'::BLOB)" for k in range(-(-dimension // 8)))
+    word = "substr(h, k * 8 + 7, 2) || substr(h, k * 8 + 5, 2) || substr(h, k * 8 + 3, 2) || substr(h, k * 8 + 1, 2)"
+    raw = f"list_transform(range({dimension}), lambda k: CAST(CAST('0x' || {word} AS UBIGINT) AS DOUBLE) / 4294967295.0 * 2.0 - 1.0)"
+    return f"(SELECT list_transform(r, lambda x: CAST(CAST(x / sqrt(list_sum(list_transform(r, lambda y: y * y))) AS FLOAT) AS DOUBLE)) FROM (SELECT {raw} AS r FROM (SELECT {blocks} AS h)))"
+
+
+@_query(f"""WITH f AS (SELECT frame_uid, video_id, frame_id, {_hash_sql('frame_uid', 'frame', 32)} AS v FROM (SELECT {_UID} AS frame_uid, video_id, {_CENTER} AS frame_id FROM ({VIEWS['unique_videos']}) WHERE total_frames > 0)),
+    q AS (SELECT CAST(item_id AS VARCHAR) AS query_id, {_hash_sql('text', 'text', 32)} AS w FROM benchmark WHERE item_id % 50 = 0),
+    s AS (SELECT query_id, frame_uid, video_id, frame_id, list_cosine_similarity(v, w) AS score, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(v, w) DESC, frame_uid) AS rank FROM f, q)
+    SELECT query_id, frame_uid, video_id, frame_id, round(score, 5) AS score, CAST(rank AS INT) AS rank FROM s WHERE rank <= 10""")
 def retrieve_frames(spark, sf_dir):
-    """Text search over hash-encoded frames (its vectors have no SQL form; tests compare with NumPy)."""
+    """Text search over hash-encoded frames; the queries are the texts of benchmark whose id is divisible by 50."""
     frames = _frames(spark, sf_dir)
-    texts = spark.createDataFrame([("a", "a person presenting an idea"), ("b", "night street")], "query_id string, text string")
-    return index.retrieve(frames, features.extract(frames), texts, features.HashEncoder(), 10).withColumn("score", F.round("score", 6))
+    texts = table(spark, sf_dir, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").cast("string").alias("query_id"), "text")
+    found = index.retrieve(frames, features.encode(frames), texts, features.HashEncoder(), 10)
+    return found.select("query_id", "frame_uid", "video_id", "frame_id", F.round("score", 5).alias("score"), "rank")
 
 
-@_query()
+@_query(f"SELECT conv_id, turn, {', '.join(f'round(v[{k + 1}], 5) AS v{k}' for k in range(16))} FROM (SELECT conv_id, turn, {_hash_sql('t', 'text', 16)} AS v FROM (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations))")
 def hash_encoder_text(spark, sf_dir):
-    """Encoded answers (tests compare with NumPy)."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", features.HashEncoder(16).encode_text(F.coalesce("text", F.lit(""))).alias("v"))
-    return rows.select("conv_id", "turn", *(F.round(F.col("v")[k].cast("double"), 5).alias(f"v{k}") for k in range(4)))
+    return rows.select("conv_id", "turn", *(F.round(F.col("v")[k].cast("double"), 5).alias(f"v{k}") for k in range(16)))
 
 
 @_query(f"SELECT 'deterministic_dummy:0.1:' || {_UID} AS feature_uid, row_number() OVER (ORDER BY video_id, {_CENTER}) - 1 AS feature_row FROM ({VIEWS['unique_videos']}) WHERE total_frames > 0")
@@ -193,36 +205,71 @@ def sampled_frames(spark, sf_dir):
     return framebank.sampled_frames(videos, framebank.full_video_shots(videos)).select("video_id", "actual_frame_id", "timestamp_ms")
 
 
+@_query(f"""WITH v AS ({VIEWS['unique_videos']}), k AS (SELECT DISTINCT 'v' || CAST(l_partkey AS VARCHAR(20)) AS video_id, CAST(l_quantity AS BIGINT) AS f FROM lineitem)
+    SELECT video_id, f AS actual_frame_id, CAST(round_even(f * 1000 / fps, 0) AS BIGINT) AS timestamp_ms, 'BTC_KEYFRAME' AS source_policy FROM k JOIN v USING (video_id) WHERE f < total_frames""")
+def supplied_keyframes(spark, sf_dir):
+    given = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("v"), F.col("l_partkey").cast("string")).alias("video_id"), F.col("l_quantity").cast("long").alias("frame_id"))
+    return framebank.supplied_keyframes(view(spark, sf_dir, "unique_videos"), given, strict=False).select("video_id", "actual_frame_id", "timestamp_ms", "source_policy")
+
+
+@_query(f"""WITH v AS (SELECT *, total_frames - 1 AS last, floor((total_frames - 1) / 2.0)::BIGINT AS mid, greatest(1, floor(fps * 5)::BIGINT) AS step FROM ({VIEWS['unique_videos']}) WHERE total_frames > 0),
+    p AS (SELECT DISTINCT video_id, unnest(CASE WHEN total_frames / fps <= 5 THEN [mid] WHEN total_frames / fps <= 15 THEN [0, mid, last] ELSE list_concat(range(0, total_frames, step), [last]) END) AS f FROM v),
+    n AS (SELECT video_id, f, coalesce(lead(f) OVER (PARTITION BY video_id ORDER BY f), f) AS t FROM p),
+    c AS (SELECT video_id, f, t, greatest(1, ceil((t - f) / step)::BIGINT) AS parts FROM n JOIN v USING (video_id))
+    SELECT video_id, actual_frame_id, count(*) AS frames FROM (SELECT DISTINCT video_id, f + floor(j * (t - f) / parts)::BIGINT AS actual_frame_id FROM (SELECT *, unnest(range(0, parts)) AS j FROM c)) GROUP BY ALL""")
+def adaptive_frames(spark, sf_dir):
+    videos = view(spark, sf_dir, "unique_videos")
+    found = framebank.adaptive_frames(videos, framebank.full_video_shots(videos))
+    return found.groupBy("video_id", "actual_frame_id").agg(F.count("*").alias("frames"))
+
+
+@_query(f"""WITH n AS ({VIEWS['nodes']}), o AS (SELECT DISTINCT 'n' || CAST(s_nationkey AS VARCHAR(20)) AS node_id, 'owner' || CAST(s_suppkey % 3 AS VARCHAR(20)) AS owner FROM supplier)
+    SELECT owner, maturity AS value, count(*) AS nodes FROM n JOIN o USING (node_id) GROUP BY ALL""")
+def owner_counts(spark, sf_dir):
+    owners = table(spark, sf_dir, "supplier").groupBy(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("node_id")).agg(F.collect_set(F.concat(F.lit("owner"), (F.col("s_suppkey") % 3).cast("string"))).alias("owners"))
+    return graph.owner_counts(view(spark, sf_dir, "nodes").join(owners, "node_id"), "maturity")
+
+
+@_query("""WITH a AS (SELECT c_nationkey % 7 AS k, c_mktsegment AS s, row_number() OVER (PARTITION BY c_nationkey % 7, c_mktsegment) AS i FROM customer),
+    b AS (SELECT s_nationkey % 7 AS k, 'BUILDING' AS s, row_number() OVER (PARTITION BY s_nationkey % 7) AS i FROM supplier)
+    SELECT k, s, 'expected' AS only_in, count(*) AS rows FROM (SELECT * FROM a EXCEPT SELECT * FROM b) GROUP BY ALL UNION ALL SELECT k, s, 'found', count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a) GROUP BY ALL""")
+def drift(spark, sf_dir):
+    a = table(spark, sf_dir, "customer").select((F.col("c_nationkey") % 7).alias("k"), F.col("c_mktsegment").alias("s"))
+    b = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") % 7).alias("k"), F.lit("BUILDING").alias("s"))
+    return graph.drift(a, b).groupBy("k", "s", "only_in").agg(F.count("*").alias("rows"))
+
+
 # --- fusion, suppression, ranking ---
 
-_BRANCH = f"""SELECT {{name}} AS branch, v.vec_id, row_number() OVER (ORDER BY {_COSINE} DESC, v.vec_id) AS rank, round({_COSINE}, 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id = {{id}} QUALIFY rank <= 50"""
-_RRF = "WITH b AS (" + " UNION ALL ".join(_BRANCH.format(name=f"'b{k}'", id=i) for k, i in ((0, 3), (1, 11))) + ")"
+#: A query for each vector whose id is divisible by 50: its neighbours are one branch, those of the next vector the other.
+_BRANCH = f"""SELECT q.vec_id - {{k}} AS query_id, 'b{{k}}' AS branch, v.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COSINE} DESC, v.vec_id) AS rank FROM embeddings v, embeddings q WHERE q.vec_id % 50 = {{k}} QUALIFY rank <= 50"""
+_RRF = "WITH b AS (" + " UNION ALL ".join(_BRANCH.format(k=k) for k in (0, 1)) + ")"
 
 
 def _branches(spark, sf_dir):
     emb = table(spark, sf_dir, "embeddings")
-    stated = emb.where("vec_id IN (3, 11)").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    stated = emb.where("vec_id % 50 IN (0, 1)").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     found = index.cosine_topk(emb, stated, 50)
-    order = F.when(F.col("query_id") == 3, 0).otherwise(1)
-    return found.select(F.lit("q").alias("query_id"), F.concat(F.lit("b"), order).alias("branch"), order.alias("branch_order"), F.col("rank").alias("pos"), "rank", F.round("score", 6).alias("score"), F.col("vec_id").cast("string").alias("frame_uid"), (F.col("vec_id") % 10).alias("bucket"), "vec_id")
+    order = (F.col("query_id") % 50).cast("int")
+    return found.select((F.col("query_id") - order).alias("query_id"), F.concat(F.lit("b"), order).alias("branch"), order.alias("branch_order"), F.col("rank").alias("pos"), "rank", F.round("score", 6).alias("score"), F.col("vec_id").cast("string").alias("frame_uid"), (F.col("vec_id") % 10).alias("bucket"), "vec_id")
 
 
-@_query(f"{_RRF} SELECT vec_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM b GROUP BY vec_id")
+@_query(f"{_RRF} SELECT query_id, vec_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM b GROUP BY query_id, vec_id")
 def rrf_two_branch(spark, sf_dir):
-    return fusion.reciprocal_rank_fusion(_branches(spark, sf_dir)).select("vec_id", F.round("score", 9).alias("score"))
+    return fusion.reciprocal_rank_fusion(_branches(spark, sf_dir)).select("query_id", "vec_id", F.round("score", 9).alias("score"))
 
 
-@_query(f"""{_RRF} SELECT vec_id, round(t, 9) AS score, CAST(row_number() OVER (ORDER BY t DESC, CAST(vec_id AS VARCHAR)) AS INT) AS rank
-    FROM (SELECT vec_id, coalesce(sum(2.0 / (10 + rank)) FILTER (WHERE branch = 'b0'), 0.0) + coalesce(sum(1.0 / (10 + rank)) FILTER (WHERE branch = 'b1'), 0.0) AS t FROM b GROUP BY vec_id)""")
+@_query(f"""{_RRF} SELECT query_id, vec_id, round(t, 9) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY t DESC, CAST(vec_id AS VARCHAR)) AS INT) AS rank
+    FROM (SELECT query_id, vec_id, coalesce(sum(2.0 / (10 + rank)) FILTER (WHERE branch = 'b0'), 0.0) + coalesce(sum(1.0 / (10 + rank)) FILTER (WHERE branch = 'b1'), 0.0) AS t FROM b GROUP BY query_id, vec_id)""")
 def rrf_weighted(spark, sf_dir):
     fused = fusion.reciprocal_rank_fusion(_branches(spark, sf_dir), k=10, weights={"b0": 2.0})
-    return fused.select("vec_id", F.round("score", 9).alias("score"), "rank")
+    return fused.select("query_id", "vec_id", F.round("score", 9).alias("score"), "rank")
 
 
-@_query(f"""{_RRF}, first AS (SELECT branch, vec_id % 10 AS bucket, min(rank) AS rank FROM b GROUP BY ALL)
-    SELECT bucket, round(coalesce(sum(1.0 / (60 + rank)) FILTER (WHERE branch = 'b0'), 0.0) + coalesce(sum(1.0 / (60 + rank)) FILTER (WHERE branch = 'b1'), 0.0), 9) AS score FROM first GROUP BY bucket""")
+@_query(f"""{_RRF}, first AS (SELECT query_id, branch, vec_id % 10 AS bucket, min(rank) AS rank FROM b GROUP BY ALL)
+    SELECT query_id, bucket, round(coalesce(sum(1.0 / (60 + rank)) FILTER (WHERE branch = 'b0'), 0.0) + coalesce(sum(1.0 / (60 + rank)) FILTER (WHERE branch = 'b1'), 0.0), 9) AS score FROM first GROUP BY query_id, bucket""")
 def rrf_dup_key(spark, sf_dir):
-    return fusion.reciprocal_rank_fusion(_branches(spark, sf_dir), key=F.col("bucket")).select("bucket", F.round("score", 9).alias("score"))
+    return fusion.reciprocal_rank_fusion(_branches(spark, sf_dir), key=F.col("bucket")).select("query_id", "bucket", F.round("score", 9).alias("score"))
 
 
 _CANDIDATES = "SELECT label AS video_id, vec_id AS frame_id, round(CAST(embedding[1] AS DOUBLE), 6) AS score, row_number() OVER (ORDER BY round(CAST(embedding[1] AS DOUBLE), 6) DESC, vec_id) AS rank FROM embeddings"

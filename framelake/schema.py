@@ -47,13 +47,17 @@ def with_violations(df: DataFrame, kind: str) -> DataFrame:
     return df.withColumn("violations", F.array_compact(F.array(*(F.when(test, F.lit(message)) for message, test in invariants(kind)))))
 
 
+def refuse(df: DataFrame, faults: list[tuple[Column, Column]]) -> DataFrame:
+    """df, failing with the first message (message, test) whose test holds for a row. A filter is not pruned, whichever columns are used."""
+    guard = F.lit(True)
+    for message, test in reversed(faults):
+        guard = F.when(test, F.raise_error(message).cast("boolean")).otherwise(guard)
+    return df.where(F.coalesce(guard, F.lit(True)))
+
+
 def require(df: DataFrame, kind: str) -> DataFrame:
     """df, failing with the first message where a row breaks an invariant."""
-    guard = F.lit(None)
-    for message, test in reversed(invariants(kind)):
-        guard = F.when(test, F.raise_error(F.lit(message))).otherwise(guard)
-    first = df.columns[0]
-    return df.withColumn(first, F.when(guard.isNull(), F.col(first)))
+    return refuse(df, [(F.lit(message), test) for message, test in invariants(kind)])
 
 
 def valid_relative_path(path: Column) -> Column:

@@ -51,7 +51,11 @@ def read_manifest(spark: SparkSession, path: str, strict: bool = True) -> DataFr
         text["video_id"], text["relative_path"], text["batch_id"], _number("fps", "double"), _number("total_frames", "bigint"), _number("duration_ms", "bigint"),
         _optional_int("width"), _optional_int("height"), _optional_bool("has_audio"), text["dataset_version"],
     )
-    return schema.require(typed, "video") if strict else schema.with_violations(typed, "video")
+    if not strict:
+        return schema.with_violations(typed, "video")
+    # numbers are read in a filter, so that a bad one is an error whichever columns are used
+    read = F.struct(*(typed[c] for c in ("fps", "total_frames", "duration_ms", "width", "height", "has_audio")))
+    return schema.require(typed.where(F.xxhash64(read).isNotNull()), "video")
 
 
 def write_manifest(videos: DataFrame, path: str) -> None:

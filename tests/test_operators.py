@@ -228,3 +228,38 @@ def test_spec_faults(spark):
     assert checks(node={"next_modules": [], "fallback": " ", "id": "1A", "reviewers": ["z"]}, edge={"flow_type": "x"}) == ["empty fallback", "flow type", "node id", "orphan edge", "unknown reviewers"]
     assert "A[\"First\"]" in spec.flowcharts(spark, spec_of()).head().text
     assert {(r.field, r.value, r.nodes) for r in spec.summary(spark, spec_of()).collect()} >= {("maturity", "PLANNED", 2), ("architecture_owner", "o", 2)}
+
+
+def test_guards_are_not_pruned(spark):
+    from framelake import schema
+
+    rows = [("v", "p", "b", 25.0, 10, 1, 1, 1, True, "d"), ("w", "p", "b", 0.0, 7, 1, 1, 1, True, "d")]
+    videos = schema.require(spark.createDataFrame(rows, schema.VIDEO), "video")
+    for use in (lambda: videos.count(), lambda: videos.agg(F.sum("total_frames")).collect()):
+        with pytest.raises(Exception, match="frame rate"):
+            use()
+    shots = spark.createDataFrame([("s", "v", 30, 40)], "shot_id string, video_id string, start_frame long, end_frame long")
+    good = spark.createDataFrame(rows[:1], schema.VIDEO)
+    with pytest.raises(Exception, match="outside video v"):
+        framebank.center_frames(good, shots).count()
+    assert framebank.center_frames(good, shots, strict=False).count() == 0
+
+
+def test_shot_id_of_large_numbers(spark):
+    got = spark.sql("SELECT explode(array(0, 42, 999999, 1234567)) AS n").select(mapping.shot_id(F.lit("v"), F.col("n")).alias("id")).collect()
+    assert [r.id for r in got] == ["v:shot:000000", "v:shot:000042", "v:shot:999999", "v:shot:1234567"]
+
+
+def test_supplied_and_adaptive_frames(spark):
+    from framelake import schema
+
+    videos = spark.createDataFrame([("v", "p", "b", 10.0, 400, 1, 1, 1, True, "d")], schema.VIDEO)
+    given = spark.createDataFrame([("v", 5), ("v", 5), ("v", 399), ("x", 1)], "video_id string, frame_id long")
+    assert sorted(r.actual_frame_id for r in framebank.supplied_keyframes(videos, given, strict=False).collect()) == [5, 399]
+    with pytest.raises(Exception, match="outside video x"):
+        framebank.supplied_keyframes(videos, given).collect()
+    shots = spark.createDataFrame([("a", "v", 0, 30), ("b", "v", 100, 219), ("c", "v", 220, 399)], "shot_id string, video_id string, start_frame long, end_frame long")
+    got = {}
+    for r in framebank.adaptive_frames(videos, shots).collect():
+        got.setdefault(r.shot_id, []).append(r.actual_frame_id)
+    assert {k: sorted(v) for k, v in got.items()} == {"a": [15], "b": [100, 129, 159, 189, 219], "c": [220, 270, 320, 370, 399]}
