@@ -34,3 +34,10 @@ def put(uri: str, data: bytes) -> None:
 def get(uri: str) -> bytes:
     with reader(uri) as file:
         return file.read()
+
+
+def remove(uri: str) -> None:
+    """Delete a folder; it may be gone already."""
+    system, path = _open(uri)
+    if system.get_file_info(path).type == fs.FileType.Directory:
+        system.delete_dir(path)
