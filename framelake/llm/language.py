@@ -3,13 +3,14 @@
 Texts are lower-cased runs of letters; a model predicts each letter, and the end of a run, from the three before it. All
 counts come from the whole training corpus: tasks count n-grams, Spark sums them and derives continuation counts (of how many
 contexts an n-gram ends). The models keep sums by the n-grams' 64-bit hashes for each language and order, as sorted arrays, so
-n-grams do not share counts, and the models grow with the distinct n-grams. The language with the lowest cross-entropy per letter wins;
-the score is calibrated on a bounded, hash-drawn sample of training documents, and so is the cross-entropy beyond which a
-prediction is marked as rejected (column accepted).
+n-grams do not share counts, and the models grow with the distinct n-grams. The arrays are made in tasks, by ranges of the
+hash, and come to the driver packed. The language with the lowest cross-entropy per letter wins. The score, and the cross-entropy beyond
+which a prediction is marked as rejected (column accepted), are calibrated on a bounded, hash-drawn sample of training
+documents, whose cross-entropies come from the counts of all others.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; so is every text if there is no training text; a
-null doc_id takes no part in learning; repeated rows count each; ties go to the first language in code-point order; an empty
-table gives no rows.
+very long text is read whole; a null doc_id takes no part in calibration; repeated rows count each; ties go to the first
+language in code-point order; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ _WORD = re.compile(r"[^\W\d_]+")
 ORDER, DISCOUNT = 4, 0.75
 #: Words and n-grams that a counting task or a scoring worker holds at most; what is held starts anew beyond it.
 HELD_WORDS, HELD_GRAMS = 500_000, 1_000_000
-#: Bounds of the calibration sample: documents, and characters of one of them.
-SAMPLE_DOCS, SAMPLE_CHARS = 1500, 8192
+#: Bounds of the calibration sample: documents, and characters of one of them; it is drawn from one in SAMPLE_FOLDS documents.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_FOLDS = 1500, 8192, 5
+#: Ranges of the hash in which the arrays are made.
+RANGES = 32
 
 
 def words_of(text: str | None) -> list[str]:
@@ -43,31 +46,34 @@ def _grams(word: str) -> list[str]:
     return [padded[k : k + ORDER] for k in range(len(word) + 1)]
 
 
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """lang, gram, n: how often each n-gram of the highest order is in the texts of each language."""
+def gram_counts(docs: DataFrame, held=None) -> DataFrame:
+    """lang, gram, n and rest: how often each n-gram of the highest order is in the texts of each language, and in those without held."""
     common.small_batches(docs.sparkSession)
 
     def run(parts):
-        held: dict[str, Counter] = defaultdict(Counter)
+        counters: dict[tuple, Counter] = defaultdict(Counter)
 
         def flush():
-            for lang, counter in held.items():
+            for (lang, out), counter in counters.items():
                 grams: dict[str, int] = defaultdict(int)
                 for word, n in counter.items():
                     for g in _grams(word):
                         grams[g] += n
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(list(grams)), pa.array(list(grams.values()), pa.int64())], names=["lang", "gram", "n"])
-            held.clear()
+                n = pa.array(list(grams.values()), pa.int64())
+                rest = pa.array(np.zeros(len(grams), "i8")) if out else n
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(list(grams)), n, rest], names=["lang", "gram", "n", "rest"])
+            counters.clear()
 
         for part in parts:
-            for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                held[lang].update(words_of(text))
-            if sum(map(len, held.values())) > HELD_WORDS:
+            for lang, text, out in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                counters[lang, out].update(words_of(text))
+            if sum(map(len, counters.values())) > HELD_WORDS:
                 yield from flush()
         yield from flush()
 
-    counted = docs.where(F.col("lang").isNotNull()).select("lang", "text").mapInArrow(run, "lang string, gram string, n long")
-    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    out = F.lit(False) if held is None else F.coalesce(held, F.lit(False))
+    counted = docs.where(F.col("lang").isNotNull()).select("lang", "text", out.alias("out")).mapInArrow(run, "lang string, gram string, n long, rest long")
+    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("rest").alias("rest"))
 
 
 def slot(gram: str) -> int:
@@ -77,39 +83,60 @@ def slot(gram: str) -> int:
 
 
 def statistics(grams: DataFrame) -> DataFrame:
-    """lang, size, what, slot, value: by hash, `n` of each n-gram of a size (continuations below the highest), and of
-    each context of a size the sum of those (`all`) and how many n-grams it has (`kinds`)."""
+    """lang, size, what, slot, value and kinds: by hash, `n` (value) of each n-gram of a size (continuations below the highest),
+    and for each `context` of a size the sum of those (value) and how many n-grams it has (kinds)."""
     found = []
-    level = grams
+    level = grams.select("lang", "gram", "n")
     for size in range(ORDER, 0, -1):
-        found.append(level.select("lang", F.lit(size).alias("size"), F.lit("n").alias("what"), "gram", F.col("n").alias("value")))
+        found.append(level.select("lang", F.lit(size).alias("size"), F.lit("n").alias("what"), "gram", F.col("n").alias("value"), F.lit(0).cast("long").alias("kinds")))
         context = level.withColumn("gram", F.substring("gram", 1, size - 1) if size > 1 else F.lit("")).groupBy("lang", "gram")
-        totals = context.agg(F.sum("n").alias("all"), F.count("*").alias("kinds"))
-        found.append(totals.selectExpr("lang", f"{size} AS size", "stack(2, 'all', `all`, 'kinds', kinds) AS (what, value)", "gram").select("lang", "size", "what", "gram", "value"))
+        totals = context.agg(F.sum("n").alias("value"), F.count("*").alias("kinds"))
+        found.append(totals.select("lang", F.lit(size).alias("size"), F.lit("context").alias("what"), "gram", "value", "kinds"))
         level = level.withColumn("gram", F.substring("gram", 2, size - 1)).groupBy("lang", "gram").agg(F.count("*").alias("n"))
     out = found[0]
     for part in found[1:]:
         out = out.unionByName(part)
     hashed = out.withColumn("slot", F.xxhash64("gram"))
-    return hashed.groupBy("lang", "size", "what", "slot").agg(F.sum("value").alias("value"))
+    return hashed.groupBy("lang", "size", "what", "slot").agg(F.sum("value").alias("value"), F.sum("kinds").alias("kinds"))
+
+
+def packed(stats: DataFrame) -> list:
+    """Rows (lang, size, what, range, slots, values, kinds): sorted hashes of a range and their figures, as bytes."""
+
+    def run(key, table):
+        order = np.argsort(slots := table.column("slot").to_numpy())
+        own = [slots[order].astype("<i8"), table.column("value").to_numpy()[order].astype("<i8"), table.column("kinds").to_numpy()[order].astype("<i8")]
+        own[1:] = [x.astype("<u4") if not len(x) or x.max() < 1 << 32 else x for x in own[1:]]  # the width follows from the length
+        lang, size, what, part = (k.as_py() for k in key)
+        columns = [[lang], [size], [what], [part], *([x.tobytes()] for x in own[: 2 if what == "n" else 3]), *([[b""]] if what == "n" else [])]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int32(), *[pa.binary()] * 3), strict=True)], names=["lang", "size", "what", "range", "slots", "value", "kinds"])
+
+    ranged = stats.withColumn("range", (F.shiftright("slot", 59) + 16).cast("int"))  # ascending like the signed hashes
+    return ranged.groupBy("lang", "size", "what", "range").applyInArrow(run, "lang string, size int, what string, range int, slots binary, value binary, kinds binary").collect()
 
 
 class Models:
     """All languages' models: for each size and figure, sorted hashes and a value for each."""
 
-    def __init__(self, table: pa.Table):
-        self.langs = sorted(set(table.column("lang").to_pylist()))
+    def __init__(self, rows: list):
+        """rows: those of packed()."""
+        self.langs = sorted({r[0] for r in rows})
         self.tables: dict[tuple[int, int, str], tuple[np.ndarray, np.ndarray]] = {}
-        langs, what = np.array(table.column("lang").to_pylist(), object), np.array(table.column("what").to_pylist(), object)
-        size, slots, value = (table.column(c).to_numpy() for c in ("size", "slot", "value"))
-        self.letters = 1
-        for k, lang in enumerate(self.langs):
+        parts: dict[tuple, list] = defaultdict(list)
+        for row in sorted(rows, key=lambda r: r[3]):
+            parts[self.langs.index(row[0]), row[1], row[2]].append(row)
+
+        def joined(own, k):
+            return np.concatenate([np.frombuffer(r[k], "<u4" if 2 * len(r[k]) == len(r[4]) else "<i8") for r in own] or [np.empty(0, "u4")])
+
+        for k in range(len(self.langs)):
             for s in range(1, ORDER + 1):
-                for w in ("n", "all", "kinds"):
-                    own = np.flatnonzero((langs == lang) & (size == s) & (what == w))
-                    own = own[np.argsort(slots[own])]
-                    self.tables[k, s, w] = slots[own].astype("i8"), value[own].astype("f8")
-            self.letters = max(self.letters, len(self.tables[k, 1, "n"][0]) + 1)
+                own = parts[k, s, "n"]
+                self.tables[k, s, "n"] = np.concatenate([np.frombuffer(r[4], "<i8") for r in own] or [np.empty(0, "i8")]), joined(own, 5)
+                own = parts[k, s, "context"]
+                slots = np.concatenate([np.frombuffer(r[4], "<i8") for r in own] or [np.empty(0, "i8")])
+                self.tables[k, s, "all"], self.tables[k, s, "kinds"] = (slots, joined(own, 5)), (slots, joined(own, 6))
+        self.letters = max([len(self.tables[k, 1, "n"][0]) for k in range(len(self.langs))], default=0) + 1
         self.sharpness, self.limit = 1.0, np.inf
         self.clear()
 
@@ -208,12 +235,22 @@ class Models:
 
 def fit(docs: DataFrame) -> Models:
     """Models from all documents (doc_id, text, lang) given."""
-    models = Models(statistics(common.materialise(gram_counts(docs), "grams")).toArrow())
     drawn = F.xxhash64("doc_id")
-    hashes = docs.select(drawn.alias("hash")).orderBy("hash").limit(SAMPLE_DOCS).collect()
-    if hashes:
-        some = docs.where((drawn <= hashes[-1][0]) & F.col("lang").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).limit(SAMPLE_DOCS)
-        models.calibrate(sorted((r.lang, r.text) for r in some.select("lang", "text").collect()))
+    able = F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= SAMPLE_CHARS) & (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(SAMPLE_FOLDS)) == 0)
+    hashes = docs.where(able).select(drawn.alias("hash")).distinct().orderBy("hash").limit(SAMPLE_DOCS).collect()
+    held = able & (drawn <= hashes[-1][0]) if hashes else None
+    grams = common.materialise(gram_counts(docs, held), "grams")
+    models = Models(packed(statistics(grams)))
+    if held is not None:
+        rows = sorted((r.lang, r.text) for r in docs.where(held).dropDuplicates(["doc_id"]).select("lang", "text").collect())
+        whole = {g for _, text in rows for w in {*words_of(text)} for g in _grams(w)}
+        seen = sorted({slot(x) for g in whole for s in range(1, ORDER + 1) for x in (g[-s:], g[-s:-1])})
+        seen = docs.sparkSession.createDataFrame([(x,) for x in seen], "slot long")  # bounded by the sample
+        others = statistics(grams.where("rest > 0").select("lang", "gram", F.col("rest").alias("n")))
+        others = others.where("size = 1").union(others.where("size > 1").join(F.broadcast(seen), "slot", "left_semi").select(*others.columns))
+        own = Models(packed(others))
+        own.calibrate(rows)
+        models.sharpness, models.limit = own.sharpness, own.limit
     return models
 
 
