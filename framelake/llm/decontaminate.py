@@ -9,11 +9,14 @@ cosine of at least the limit are candidates; a window's projected length bounds
 product. Candidates are checked on whole words: the longest common subsequence of item and text around the window, and the
 share of the item's answer (the words after its last question mark, else its rarest words) that the text has.
 
-The corpus is read twice and never shuffled. Benchmarks of more than BLOCK_ITEMS items are searched in blocks, so what is
-broadcast is bounded: at most BLOCK_ITEMS items of at most ITEM_WORDS words at once (longer items count as several).
-
-Defined cases: null or empty texts match nothing; null doc_ids are kept; repeated documents match each; of items that share
-an id each is searched; an empty benchmark or table gives no rows; other columns are ignored.
+The corpus is read twice, once for the document frequencies and once for the search, and never shuffled. Large benchmarks are
+searched in blocks of at most BLOCK_ITEMS items and about BLOCK_WORDS words, whose models are files in the shared folder; a
+task searches each batch of its documents with one block after the other, so it holds one of them at a time. The driver
+holds the benchmark's words, which are the stated query set. Items are checked whole, however long they are.
+
+Defined cases: null or empty texts match nothing; a very long text is searched whole; null doc_ids are kept; repeated documents
+match each; of items that share an id (ties, repeated rows) each is searched and the best match is given; an empty benchmark or
+table gives no rows; other columns, whatever their names, are ignored by matches() and kept by clean().
 """
 
 from __future__ import annotations
@@ -27,10 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import common
+from framelake.llm import common, store
 
 _WORD = re.compile(r"[^\W_]+")
-BLOCK_ITEMS, ITEM_WORDS = 2000, 512
+#: Items of a block, and words of its items, about.
+BLOCK_ITEMS, BLOCK_WORDS = 2000, 200_000
 #: Of ASCII, all but letters and digits are gaps between words.
 _GAPS = "".join(chr(k) if chr(k).isalnum() else " " for k in range(128))
 #: Words in more documents than e^-COMMON of them carry next to no weight and are left out of the vectors, not of the checks.
@@ -76,7 +80,6 @@ def lcs_length(item: list[int], text: list[int]) -> int:
 
 def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[dict[str, int], int]:
     """In how many documents each word of the vocabulary is, and how many documents there are."""
-    common.small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast({w: k for k, w in enumerate(vocabulary)})
 
     def run(parts):
@@ -96,7 +99,8 @@ def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[dict[s
 def randomised_svd(passages: DataFrame, columns: int, rank: int, rounds: int = 2, seed: int = 42) -> np.ndarray:
     """The leading right singular vectors (columns x rank) of the rows (terms array<int>, weights array<double>).
 
-    Each round multiplies by the transposed matrix times the matrix in one Spark job; tasks add up their rows' parts.
+    Each round multiplies by the transposed matrix times the matrix in one Spark job: tasks add up their rows' parts of each
+    column, and the parts are summed by column, each in its own group. Only the product itself comes to the driver.
     """
     rank = min(rank, columns)
     spark = passages.sparkSession
@@ -105,19 +109,23 @@ def randomised_svd(passages: DataFrame, columns: int, rank: int, rounds: int = 2
         held = spark.sparkContext.broadcast(basis)
 
         def part(batches):
-            own, total = held.value, np.zeros(held.value.shape)
+            own, sums = held.value, {}
             for batch in batches:
                 for terms, weights in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     w = np.array(weights)
-                    total[terms] += np.outer(w, w @ own[terms])  # terms of a row are distinct
-            yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([total.tobytes()], pa.binary())], names=["one", "part"])
+                    for term, row in zip(terms, np.outer(w, w @ own[terms]), strict=True):
+                        sums[term] = sums[term] + row if term in sums else row
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["term", "part"])
 
-        def add(table):
+        def add(key, table):
             total = sum(np.frombuffer(x.as_py()) for x in table.column("part"))
-            return pa.table({"total": pa.array([total.tobytes()], pa.binary())})
+            return pa.table({"term": pa.array([key[0].as_py()], pa.int32()), "total": pa.array([total.tobytes()], pa.binary())})
 
-        got = passages.select("terms", "weights").mapInArrow(part, "one long, part binary").groupBy("one").applyInArrow(add, "total binary").collect()
-        return np.frombuffer(got[0][0]).reshape(basis.shape)
+        out = np.zeros(basis.shape)
+        for term, total in passages.select("terms", "weights").mapInArrow(part, "term int, part binary").groupBy("term").applyInArrow(add, "term int, total binary").collect():
+            out[term] = np.frombuffer(total)
+        held.destroy()
+        return out
 
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((columns, min(columns, rank + 16))))[0]
     for _ in range(rounds):
@@ -139,7 +147,7 @@ class Model:
         self.items = [[self.words[w] for w in ws] for ws in item_words]
         self.rare = self.idf >= COMMON
         for ids in self.items:
-            if not self.rare[ids].any():  # an item of common words alone keeps them
+            if self.rare[ids].mean() < 0.25:  # an item of common words, or nearly so, keeps them
                 self.rare[ids] = True
         self.answers = [[self.words[w] for w in answer_words(t, ws, idf)] for (_, t), ws in zip(items, item_words, strict=True)]
         rows, self.owner = [], []  # distinct terms and weights of each passage, and its item
@@ -227,7 +235,10 @@ class Model:
             if share >= s.lcs or share >= s.lcs_with_answer and answer >= s.answer:
                 found = share, answer, cosine
                 best[item] = max(best.get(item, found), found)
-        return [(self.ids[k], c, share, answer) for k, (share, answer, c) in sorted(best.items())]
+        by_id: dict[int, tuple[float, float, float]] = {}
+        for k, found in best.items():
+            by_id[self.ids[k]] = max(by_id.get(self.ids[k], found), found)
+        return [(i, c, share, answer) for i, (share, answer, c) in sorted(by_id.items(), key=str)]
 
     def _shares(self, item: int, around: list[int]) -> tuple[float, float]:
         """The best LCS share in stretches of the item's length and half of it more, and the answer's share in all of them."""
@@ -243,59 +254,84 @@ class Model:
         return share, float(mass[[a in there for a in answer]].sum() / mass.sum())
 
 
-def _items(benchmark: DataFrame) -> list[tuple[int, str]]:
-    """The stated query set; long items are cut, so that each part is searched."""
-    out = []
-    for i, text in sorted(((r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("long"), "text").where(F.col("text").isNotNull()).collect()), key=str):
-        words = list(_WORD.finditer(text))
-        for a in range(0, len(words), ITEM_WORDS):
-            last = words[a : a + ITEM_WORDS][-1].end() if a + ITEM_WORDS < len(words) else len(text)
-            out.append((i, text[words[a].start() : last]))
-    return out
+MATCHES = "doc_id long, item_id long, cosine double, lcs double, answer double"
 
 
-MATCHES = "doc_id long, item_id long, cosine double, lcs double, answer double"
+def _blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
+    """The stated query set, in blocks."""
+    rows = benchmark.select(F.col("item_id").cast("long"), "text").where(F.col("text").isNotNull()).collect()
+    out, words = [], 0
+    for i, text in sorted(((r[0], r[1]) for r in rows), key=str):
+        own = len(words_of(text))
+        if own and (not out or len(out[-1]) >= BLOCK_ITEMS or words + own > BLOCK_WORDS):
+            out.append([])
+            words = 0
+        if own:
+            out[-1].append((i, text))
+            words += own
+    return out
 
 
-def _models(docs: DataFrame, benchmark: DataFrame, settings: Settings) -> list:
-    """Broadcast models, one for each block of items."""
-    spark, items = docs.sparkSession, _items(benchmark)
-    if not items:
+def _models(docs: DataFrame, benchmark: DataFrame, settings: Settings) -> list[str]:
+    """Files of the models, one for each block of items."""
+    common.small_batches(docs.sparkSession)
+    spark, blocks = docs.sparkSession, _blocks(benchmark)
+    if not blocks:
         return []
-    frequencies, documents = document_frequencies(docs, sorted({w for _, t in items for w in words_of(t)}))
-    blocks = (items[a : a + BLOCK_ITEMS] for a in range(0, len(items), BLOCK_ITEMS))
-    return [spark.sparkContext.broadcast(pickle.dumps(Model(spark, block, frequencies, documents, settings))) for block in blocks]
+    frequencies, documents = document_frequencies(docs, sorted({w for items in blocks for _, t in items for w in words_of(t)}))
+    folder = common.fresh_path(spark, "benchmark")
+    store.make_dir(folder)
+    paths = [f"{folder}/block-{k}" for k in range(len(blocks))]
+    for path, items in zip(paths, blocks, strict=True):
+        store.put(path, pickle.dumps(Model(spark, items, frequencies, documents, settings)))
+    return paths
+
+
+_HELD: dict[str, Model] = {}
+
+
+def _model(path: str) -> Model:
+    """The model of a file; a worker holds the last one only."""
+    if path not in _HELD:
+        _HELD.clear()
+        _HELD[path] = pickle.loads(store.get(path))
+    return _HELD[path]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, item_id, cosine, lcs and answer of each document and benchmark item that it has."""
-    out = docs.sparkSession.createDataFrame([], MATCHES)
-    for held in _models(docs, benchmark, settings):
+    paths = _models(docs, benchmark, settings)
+    if not paths:
+        return docs.sparkSession.createDataFrame([], MATCHES)
 
-        def run(parts, held=held):
-            model = pickle.loads(held.value)
-            for part in parts:
-                rows = [(doc, *hit) for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for hit in model.search(text)]
+    def run(parts):
+        for part in parts:
+            ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+            for path in paths:
+                model = _model(path)
+                rows = [(doc, *hit) for doc, text in zip(ids, texts, strict=True) for hit in model.search(text)]
                 columns = list(zip(*rows, strict=True)) if rows else [()] * 5
                 kinds = [pa.int64()] * 2 + [pa.float64()] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "cosine", "lcs", "answer"])
 
-        out = out.union(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, MATCHES))
-    return out
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, MATCHES)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """docs without the rows whose text has a benchmark item; nothing is joined or shuffled."""
-    at, shape = docs.columns.index("text"), docs.schema
-    for held in _models(docs, benchmark, settings):
+    paths, at = _models(docs, benchmark, settings), docs.columns.index("text")
+    if not paths:
+        return docs
 
-        def run(parts, held=held):
-            model = pickle.loads(held.value)
-            for part in parts:
-                yield part.filter(pa.array([not model.search(t) for t in part.column(at).to_pylist()], pa.bool_()))
+    def run(parts):
+        for part in parts:
+            for path in paths:
+                model = _model(path)
+                part = part.filter(pa.array([not model.search(t) for t in part.column(at).to_pylist()], pa.bool_()))
+            yield part
+        common.trim()
 
-        docs = docs.mapInArrow(run, shape)
-    return docs
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,3 +94,47 @@ def test_clean_and_odd_rows(spark, odd_docs, no_docs):
     assert decontaminate.clean(no_docs, benchmark).count() == 0
     assert decontaminate.matches(odd_docs, benchmark.limit(0)).count() == 0
     assert decontaminate.clean(odd_docs, benchmark.limit(0)).count() == odd_docs.count()
+
+
+def test_paraphrases_against_all_pairs(planted):
+    """Recall over all pairs whose longest common subsequence, in a stretch of the item's length and half of it more, is long enough."""
+    docs, benchmark = ({r[0]: decontaminate.words_of(r[1]) for r in t.collect()} for t in planted)
+    truth = set()
+    for d, words in docs.items():
+        for i, item in benchmark.items():
+            span, step = len(item) + len(item) // 2 + 2, max(1, len(item) // 8)
+            if len({*item} & {*words}) >= len({*item}) // 2:
+                numbers = {w: k for k, w in enumerate({*item, *words})}
+                flat, own = [numbers[w] for w in words], [numbers[w] for w in item]
+                if any(decontaminate.lcs_length(own, flat[a : a + span]) >= 0.75 * len(own) for a in range(0, max(1, len(flat)), step)):
+                    truth.add((d, i))
+    found = {(r.doc_id, r.item_id) for r in decontaminate.matches(*planted).collect()}
+    assert len(truth) > 20 and len(truth & found) >= 0.95 * len(truth)
+
+
+def test_common_words_change_no_match(spark, planted, monkeypatch):
+    table = common.documents(spark, SF).select("doc_id", "text"), spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text")
+    for docs, benchmark in (planted, table):
+        some = {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, benchmark).collect()}
+        monkeypatch.setattr(decontaminate, "COMMON", -1.0)
+        whole = {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, benchmark).collect()}
+        monkeypatch.undo()
+        assert whole and whole <= some
+
+
+def test_long_items_are_checked_whole(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8))) for _ in range(3000)]
+    item = [rng.choice(words) for _ in range(1500)]
+    texts = [item[:600], item, [w for w in item if rng.random() > 0.15], item[:1300], *([rng.choice(words) for _ in range(200)] for _ in range(60))]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(9, " ".join(item))], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.matches(docs, benchmark).collect()} == {1, 2, 3}
+
+
+def test_items_that_share_an_id(spark):
+    text = "the quick brown fox jumps over one lazy dog near the old stone bridge"
+    docs = spark.createDataFrame([(1, text), (2, "nothing of it")], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, text), (1, text), (None, text)], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.matches(docs, benchmark).where("item_id IS NOT NULL").collect()) == [(1, 1)]
+    assert decontaminate.clean(docs, benchmark).count() == 1
