@@ -3,7 +3,6 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-import pyarrow as pa
 from framelake.llm import common, language, quality_model, toxicity
 from pyspark.sql import functions as F
 
@@ -28,7 +27,7 @@ def test_toxicity_neighbours_are_exact():
         y = int(k % 5 == 0)
         text = " ".join(rng.choice(words, 30).tolist() + (rng.choice(bad, int(rng.integers(1, 5))).tolist() if y else []))
         rows.append((text, y, k))
-    index = toxicity.Index(rows, toxicity.Settings(odds=0.1, margin=-9))
+    index = toxicity.Index(rows, toxicity.Settings())
     vectors = [index.vector(t) for t, _, _ in rows]
     dense = np.zeros((len(rows), len(index.vocabulary)))
     for k, (terms, values) in enumerate(vectors):
@@ -39,6 +38,80 @@ def test_toxicity_neighbours_are_exact():
         assert np.allclose(cosines, exact[exact > 0][: len(cosines)]) and len(cosines) == min(index.k, (exact > 1e-15).sum())
         assert np.allclose(dense[index.docs[found]] @ dense[k], cosines)
     assert auc([(index.score(t)[0], y) for t, y, _ in rows]) > 0.99
+    assert index.size == len(rows) and dense.any(1).all()  # every row is an example
+    for k in range(0, 700, 50):  # votes and scores, written out
+        cosines = dense @ dense[k]
+        best = sorted(range(700), key=lambda i: (-round(cosines[i], 12), i))[: index.k]
+        weights = [cosines[i] / (1.1 - min(cosines[i], 1)) for i in best if cosines[i] > 0]
+        vote = (sum(w * rows[i][1] for w, i in zip(weights, best, strict=False)) + 0.1 * index.share) / (sum(weights) + 0.1)
+        a, b = index.calibration
+        assert math.isclose(index.score(rows[k][0])[0], 1 / (1 + math.exp(-(a * math.log(vote / (1 - vote)) + b))), rel_tol=1e-6)
+
+
+def test_best_window_against_all_windows():
+    rng = np.random.default_rng(4)
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(200)]
+    rows = [(" ".join([*rng.choice(words, 40), *(["vile", "horrid"] if k % 4 == 0 else []), *rng.choice(words, 40)]), int(k % 4 == 0), k) for k in range(300)]
+    index = toxicity.Index(rows, toxicity.Settings(window=5))
+    assert {"vile", "horrid"} <= set(index.telling)
+    for text, _, _ in rows:
+        own = text.split()
+        gains = [sum(index.telling.get(w, 0) for w in own[a : a + 5]) for a in range(len(own) - 4)]
+        best = next(a for a, g in enumerate(gains) if g >= max(gains) - 1e-9)
+        assert index._best(own) == own[best : best + 5]
+
+
+def test_curve_is_the_best_and_no_order_breaks_it():
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(-3, 2, 900), rng.normal(9, 1, 60)])
+    y = np.concatenate([np.zeros(900), np.ones(60)])
+    loss = lambda a, b: (np.logaddexp(0, a * x + b) - y * (a * x + b)).sum() + ((a - 1) ** 2 + b * b) / 2
+    a, b = toxicity.fit_curve(x, y)
+    assert all(loss(a, b) <= loss(a + da, b + db) + 1e-6 for da in (-0.01, 0, 0.01) for db in (-0.01, 0, 0.01))
+    order = rng.permutation(len(x))
+    assert np.allclose(toxicity.fit_curve(x[order], y[order]), (a, b), atol=1e-4)
+    slope, _ = toxicity.fit_curve(-x, y)
+    assert slope > 0
+
+
+def test_toxicity_held_out_in_any_order_of_rows(spark):
+    folder = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    texts = {r.doc_id: r.text for r in common.documents(spark, folder).select("doc_id", "text").collect() if r.doc_id in labels}
+    learn = [(texts[d], int(y), d) for d, y in sorted(labels.items()) if d in texts and not held(d, 0, 5) and len(texts[d] or "") <= toxicity.Settings().chars]
+    test = [(texts[d], y) for d, y in labels.items() if d in texts and held(d, 0, 5)]
+    for seed in range(3):
+        index = toxicity.Index([learn[k] for k in np.random.default_rng(seed).permutation(len(learn))], toxicity.Settings())
+        scores = [(index.score(t)[0], y) for t, y in test]
+        assert auc(scores) >= 0.95
+        assert np.mean([s >= 0.5 for s, y in scores if y]) >= 0.85 and np.mean([s >= 0.5 for s, y in scores if not y]) < 0.02
+
+
+def test_quality_training_against_plain_updates():
+    """Follow the regularised leader with dictionaries, one weight at a time."""
+    rng = np.random.default_rng(2)
+    rows = [(" ".join(rng.choice(["good", "fine", "bad", "poor", "so", "and"], 12, p=[0.3, 0.3, 0.05, 0.05, 0.15, 0.15] if y else [0.05, 0.05, 0.3, 0.3, 0.15, 0.15])), int(y)) for y in rng.random(80) < 0.5]
+    own = quality_model.Settings(bits=12, epochs=2)
+    weights, bias = quality_model.train(rows, own)
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(j):
+        if abs(z[j]) <= own.l1:
+            return 0.0
+        return -(z[j] - math.copysign(own.l1, z[j])) / ((own.beta + math.sqrt(n[j])) / own.alpha + own.l2)
+
+    for _ in range(2):
+        for text, y in rows:
+            slots, values = quality_model.features(text, 12)
+            x = {**dict(zip(slots.tolist(), values.tolist(), strict=True)), "bias": 1.0}
+            w = {j: weight(j) for j in x}
+            p = 1 / (1 + math.exp(-sum(w[j] * v for j, v in x.items())))
+            for j, v in x.items():
+                g = (p - y) * v
+                z[j] += g - (math.sqrt(n[j] + g * g) - math.sqrt(n[j])) / own.alpha * w[j]
+                n[j] += g * g
+    assert np.allclose([weights[j] for j in range(1 << 12)], [weight(j) for j in range(1 << 12)], atol=1e-5) and math.isclose(bias, weight("bias"), abs_tol=1e-6)
+    assert weights.any()
 
 
 def test_toxicity_query(spark):
@@ -128,5 +201,17 @@ def test_language_query(spark):
 
 
 def test_language_model_without_a_language():
-    empty = pa.table({"lang": pa.array([], pa.string()), "size": pa.array([], pa.int32()), "what": pa.array([], pa.string()), "slot": pa.array([], pa.int32()), "value": pa.array([], pa.int64())})
-    assert language.Models(empty).predict("text")[:2] == ("und", 0.0)
+    assert language.Models([]).predict("text")[:2] == ("und", 0.0)
+
+
+def test_calibration_leaves_its_own_rows_out(spark):
+    docs = common.documents(spark, SF).where(~common.held_out(1, 3)).limit(300)
+    docs = spark.createDataFrame(docs.select("doc_id", "text", "lang").collect(), "doc_id long, text string, lang string")
+    models = language.fit(docs)
+    rows = [r for r in docs.collect() if r.lang is not None]
+    out = {r.doc_id for r in docs.where((F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(language.SAMPLE_FOLDS)) == 0) & (F.length("text") <= language.SAMPLE_CHARS)).collect()}
+    sample = sorted((r.lang, r.text) for r in rows if r.doc_id in out and r.lang is not None)
+    rest = language.Models(language.packed(language.statistics(language.gram_counts(docs.where(~F.col("doc_id").isin(*out))))))
+    assert sample and rest.langs == models.langs
+    rest.calibrate(sample)
+    assert math.isclose(models.limit, rest.limit, rel_tol=1e-9) and models.sharpness == rest.sharpness
