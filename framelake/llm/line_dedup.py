@@ -6,9 +6,10 @@ the first occurrence of each document, which counts documents and finds the larg
 dropped in all other documents. The result is no text but, for each document that loses lines, a keep bitmap compressed to
 the runs of its dropped lines; apply_bitmaps() cuts texts by it.
 
-Defined cases: a null or empty text is one empty line; rows with the same doc_id and text get the same bitmap, and count
-as one document with any others of that doc_id; a null doc_id is a document that is smaller than all others; an empty
-table gives no rows; other columns are kept by dedup_lines().
+Defined cases: a null or empty text is one empty line; rows with the same doc_id and text (ties, repeated rows) get the same
+bitmap, and count as one document with any others of that doc_id; a null doc_id is a document that is smaller than all others;
+a very long text is read whole, its lines one by one; an empty table gives no rows; other columns, whatever their names, are
+kept by dedup_lines().
 """
 
 from __future__ import annotations
@@ -59,31 +60,38 @@ def kept_text(lines: F.Column, runs: F.Column) -> F.Column:
     return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(runs)), lambda k: F.slice(lines, end(k) + 1, until(k) - end(k)))), "\n")
 
 
+def added_names(docs: DataFrame) -> list[str]:
+    """Names of the columns that apply_bitmaps() adds: _n_lines, _n_dropped and _kept, with more underscores where docs has them."""
+    return [common.free_name(docs, n) for n in ("_n_lines", "_n_dropped", "_kept")]
+
+
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs with _n_lines, _n_dropped and _kept (text without the dropped lines).
+    """docs with _n_lines, _n_dropped and _kept (text without the dropped lines), under the names of added_names().
 
     Texts are dealt once, to as many parts as their size asks for, and meet the far smaller bitmaps without being sorted.
     """
     parts = common.partitions_for(docs)
-    own = ["_doc", "_no_doc", "_text_key"]
-    ids = {"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_no_doc": F.col("doc_id").isNull()}
-    keyed = docs.withColumns(ids | {"_text_key": F.xxhash64("text")}).repartition(parts, *own)
-    right = bitmaps.withColumns(ids).select("_doc", "_no_doc", F.col("text_key").alias("_text_key"), F.col("n_dropped").alias("_n_dropped"), F.col("runs").alias("_runs"))
+    n_lines, n_dropped, kept = added_names(docs)
+    runs, *own = (common.free_name(docs, n) for n in ("_runs", "_doc", "_no_doc", "_text_key"))
+    ids = dict(zip(own, (F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").isNull()), strict=False))
+    keyed = docs.withColumns(ids | {own[2]: F.xxhash64("text")}).repartition(parts, *own)
+    right = bitmaps.withColumns(ids).select(*own[:2], F.col("text_key").alias(own[2]), F.col("n_dropped").alias(n_dropped), F.col("runs").alias(runs))
     joined = keyed.join(right.repartition(parts, *own).hint("shuffle_hash"), own, "left")
     whole = F.coalesce(F.col("text"), F.lit(""))
     return joined.withColumns({
-        "_n_lines": (F.char_length(whole) - F.char_length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1).cast("long"),
-        "_n_dropped": F.coalesce("_n_dropped", F.lit(0)),
-        "_kept": F.when(F.col("_runs").isNull(), whole).otherwise(kept_text(_lines(), F.col("_runs"))),
-    }).drop(*own, "_runs")
+        n_lines: (F.char_length(whole) - F.char_length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1).cast("long"),
+        n_dropped: F.coalesce(n_dropped, F.lit(0)),
+        kept: F.when(F.col(runs).isNull(), whole).otherwise(kept_text(_lines(), F.col(runs))),
+    }).drop(*own, runs)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """docs without the lines that keep_bitmaps() drops; n_chars, if there, follows the text. Null texts stay null."""
     out = apply_bitmaps(docs, keep_bitmaps(docs, min_chars, min_docs))
-    out = out.withColumn("text", F.when(F.col("text").isNotNull(), F.col("_kept")))
+    _, n_dropped, kept = added_names(docs)
+    out = out.withColumn("text", F.when(F.col("text").isNotNull(), F.col(kept)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(n_dropped) > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

@@ -49,6 +49,14 @@ def test_lines_of_nothing_and_other_columns(spark, no_docs, odd_docs):
     assert out.where("doc_id = 2").head().text is None
 
 
+def test_lines_keep_clashing_names(spark, odd_docs):
+    names = {"_doc": F.lit(1), "_no_doc": F.lit(2), "_text_key": F.lit(3), "_kept": F.lit("k"), "_n_lines": F.lit(4), "_n_dropped": F.lit(5), "_runs": F.lit(6), "island": F.lit(7)}
+    clash = odd_docs.union(odd_docs.withColumn("doc_id", F.col("doc_id") + 50)).union(odd_docs.withColumn("doc_id", F.col("doc_id") + 90)).withColumns(names)
+    out = line_dedup.dedup_lines(clash)
+    assert out.columns == clash.columns and out.select(*names).distinct().count() == 1
+    assert {tuple(r) for r in out.select("doc_id", "text").collect()} == {tuple(r) for r in line_dedup.dedup_lines(clash.drop(*names)).select("doc_id", "text").collect()}
+
+
 def brute_shards(rows, shards=24, seed=42):
     strata = defaultdict(list)
     for doc, text, source in rows:
