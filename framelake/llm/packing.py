@@ -2,11 +2,13 @@
 
 Each task packs the documents that it reads, in bounded buffers, so nothing is shuffled and a lost task is simply run
 again. A bin takes, again and again, the item that fits and has the largest dot product of its size vector (each dimension
-over its limit) with the bin's free room. With cutting, the item that fills the rest of a bin best is cut to it, and what is
-left at a task's end goes to sequences whose lengths are powers of two, so that nothing is padded.
+over its limit) with the bin's free room; ties go to the item that waits at the lower place. With cutting, the longest item
+is cut to the rest of a bin that nothing else fits, and a bin that another limit closes early, or a task's last one, goes to
+sequences whose lengths are powers of two, so that nothing is padded.
 
-Defined cases: a null or empty text has only the end id; a null doc_id is kept; repeated rows are packed each; an empty
-table gives no piece; other columns are ignored.
+Defined cases: a null or empty text has only the end id; a null doc_id is kept; repeated rows are packed each; a very long
+text fills whole sequences (with cut off, a text beyond a limit is an error); an empty table gives no piece; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.llm import common
-from framelake.llm.tokens import Encoder, batches
+from framelake.llm.tokens import BATCH_CHARS, Encoder, batches
 
 
 @dataclass(frozen=True)
@@ -101,7 +103,8 @@ def pack(items: list[Piece], limits: Limits, cut: bool, last: bool) -> tuple[lis
             content.append(x)
             free -= (x.length, 1, x.loss)
             total -= x.length
-        bins += _powers(content) if cut and not waiting else [content]
+        # a bin that closes early, by another limit or at the end, is cut to powers of two, so that nothing is padded
+        bins += _powers(content) if cut and free[0] else [content]
     return bins, waiting
 
 
@@ -126,7 +129,7 @@ def _powers(content: list[Piece]) -> list[list[Piece]]:
 SCHEMA = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens")])
 
 
-def pack_documents(docs: DataFrame, path: str, mode: str, end_id: int, limits: Limits = Limits(), cut: bool = True, prompt_col: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, end_id: int, limits: Limits = Limits(), cut: bool = True, prompt_col: str | None = None) -> DataFrame:
     """A row for each piece. prompt_col: leading text without loss (instruction data); all tokens of text bear loss.
 
     sequence_id is the task's number times 2^32 plus the sequence's number in it.
@@ -136,7 +139,7 @@ def pack_documents(docs: DataFrame, path: str, mode: str, end_id: int, limits: L
     end = np.array([end_id], "<u4").tobytes()
 
     def run(parts):
-        encoder, base, made = Encoder.of(path, mode), TaskContext.get().partitionId() << 32, 0
+        encoder, base, made = Encoder.of(path), TaskContext.get().partitionId() << 32, 0
         doc_of: dict[int, tuple] = {}
         buffer: list[Piece] = []
         serial = held = 0
@@ -158,7 +161,7 @@ def pack_documents(docs: DataFrame, path: str, mode: str, end_id: int, limits: L
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[lo : lo + 20_000], strict=True)], schema=SCHEMA)
 
         for part in parts:
-            for rows in batches(zip(*(part.column(k).to_pylist() for k in range(3)), strict=True), lambda r: r[2]):
+            for rows in batches(zip(*(part.column(k).to_pylist() for k in range(3)), strict=True), lambda r: r[2], BATCH_CHARS, 10_000):
                 heads = encoder.encode([r[1] for r in rows]) if prompt_col else [b""] * len(rows)
                 for (doc, _, _), head, ids in zip(rows, heads, encoder.encode([r[2] for r in rows]), strict=True):
                     ids = head + ids + end
@@ -169,12 +172,28 @@ def pack_documents(docs: DataFrame, path: str, mode: str, end_id: int, limits: L
                     if len(buffer) >= BUFFER_ITEMS or held >= BUFFER_BYTES:
                         yield from flush(False)
         yield from flush(True)
+        common.trim()
 
     shape = ", ".join(f"`{n}` long" for n in SCHEMA.names)
     return docs.select(F.col("doc_id").cast("long"), prompt.alias("prompt"), "text").mapInArrow(run, shape)
 
 
+def instruction_rows(conversations: DataFrame) -> DataFrame:
+    """doc_id (conv_id times 2^24 plus the turn), prompt and text of each user turn and the assistant turn that follows it."""
+    own = conversations.select("conv_id", "turn", "role", "text")
+    asked = own.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("prompt"))
+    return own.where("role = 'assistant'").join(asked, ["conv_id", "turn"]).select((F.shiftleft("conv_id", 24) + F.col("turn") - 1).alias("doc_id"), "prompt", "text")
+
+
+def pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instruction data, where limits on tokens, segments and loss-bearing tokens all bind."""
+    import public_tokenizers
+
+    rows = instruction_rows(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return pack_documents(rows, public_tokenizers.path("byte_bpe_50k.json"), 1, Limits(2048, 16, 1024), prompt_col="prompt")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack_documents(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), "lead", 1)
+    return pack_documents(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 1)
