@@ -3,23 +3,28 @@
 Two fingerprints within the radius share a variant within half the radius of each. Variants are shuffled by their top bits,
 but as the fingerprint that they come from: a fingerprint goes to each cell (value of the top bits) within half the radius of
 its own, and the cell's task expands the variants that lie in it. Each variant is thus made once, in one task, and the shuffle
-carries tens of copies of a fingerprint instead of thousands of variants. Cells expand in rounds over more top bits, which
-bounds memory. In a cell, equal variants are sorted together, each is linked to the smallest fingerprint that has it, the
-links' distances are verified, and a union-find keeps a spanning forest, so a group of any size yields fewer links than it
-has members. Groups across cells are joined by an iterated label exchange on tables in the shared folder.
-
-keep_one also links rows whose shingle sets have a Jaccard similarity of 0.8 or more, which lie far more than 4 bits apart: sets that
-share a band of MinHash values are compared whole. A bucket of equal bands leaves out comparisons within groups that it has found.
-
-Only distinct fingerprints take part; documents with equal ones are joined by the fingerprint's smallest doc_id.
-
-Defined cases: a text without words (null or empty too) has fingerprint zero; a null doc_id is ignored as a smallest id, and
-its group's id is null only if all its ids are null; repeated rows share their component; an empty table gives no rows.
+carries tens of copies of a fingerprint instead of thousands of variants. The number of top bits follows from the number of
+distinct fingerprints; cells that still hold too many are cut by further bits, again and again, so a task's share is bounded
+however the fingerprints lie. In a cell, equal variants are sorted together, each is linked to the smallest fingerprint that
+has it, the links' distances are verified, and a union-find keeps a spanning forest, so a group of any size yields fewer links
+than it has members. Groups across cells are joined by an iterated label exchange on tables in the shared folder.
+
+keep_one also links texts whose shingle sets have a Jaccard similarity of 0.8 or more, which lie far more than 4 bits apart: sets
+that share a band of MinHash values are candidates, and their whole sets are compared. Each bucket of equal bands compares its
+sets with its first one; where that leaves several groups in a bucket, all sets of different groups are compared, in blocks.
+
+Only distinct fingerprints and distinct sets take part; documents with equal ones are joined by the smallest doc_id. Rows of a
+frequent key are dealt to parts by a salt in every join that could meet one.
+
+Defined cases: a text without words (null or empty too) has fingerprint zero; a very long text is read whole; a null doc_id is
+ignored as a smallest id, and its group's id is null only if all its ids are null; repeated rows and ties share their
+component, and keep_one keeps one of them; an empty table gives no rows; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +34,19 @@ from pyspark.sql import functions as F
 
 from framelake.llm import common
 
-#: Top bits of a cell, and variants that a cell's task holds at once, about.
-CELL_BITS, HELD_VARIANTS = 8, 4_000_000
+#: Fingerprints of a cell that are not cut further, and variants that a cell's task holds at once, about.
+HELD_FPS, HELD_VARIANTS = 50_000, 2_000_000
+#: Bits by which a cell that holds too many is cut.
+MORE_BITS = 6
 #: Parts that one fingerprint's documents are dealt to.
 SALTS = 64
 #: MinHash bands and values in each: sets of similarity 0.8 share a band with probability 1 - (1 - 0.8^4)^20 = 0.99997.
 BANDS, BAND_ROWS = 20, 4
+#: Sets of one of the two blocks that a task compares.
+BLOCK_SETS = 256
+#: Bytes of row keys that are broadcast at most; more are shuffled.
+KEY_BYTES = 8 << 20
+KEY = ["row_doc", "row_none", "row_key"]
 _UPPER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BITS = np.unpackbits(np.arange(256, dtype="u1")[:, None], axis=1).astype("i4")
 
@@ -53,7 +65,10 @@ def shingle_hashes(text: str | None, shingle: int = 4, seed: int = 42) -> bytes:
 
 def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     """64 bits, each set if over half the shingles' XXH64 have it."""
-    data = shingle_hashes(text, shingle, seed)
+    return print_of(shingle_hashes(text, shingle, seed))
+
+
+def print_of(data: bytes) -> int:
     n = len(data) // 8
     columns = np.frombuffer(data, "u1").reshape(n, 8)  # big-endian
     if n < 64:
@@ -77,10 +92,10 @@ def bands(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(x.tobytes(), k) - (1 << 63) for k, x in enumerate(least.reshape(BANDS, BAND_ROWS))]
 
 
-def set_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Pairs of sets of at least the similarity that connect all such pairs."""
+def set_links(sets: list[np.ndarray], similarity: float, group: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs of sets of at least the similarity that connect all such pairs. group: sets of equal values are connected already."""
     sizes = np.array([len(x) for x in sets])
-    group = np.arange(len(sets))
+    group = np.arange(len(sets)) if group is None else group.copy()
     out = []
     for k, own in enumerate(sets):
         if (group == group[0]).all():
@@ -98,45 +113,96 @@ def set_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]
     return out
 
 
-def similar_links(marked: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Links (a, b) of the fingerprints (__fp) of rows (__row, text) whose shingle sets have at least the similarity."""
+def spread(rows: DataFrame, key: str, by: str, lookup: DataFrame) -> DataFrame:
+    """rows (a written table) joined with lookup, which has one row for each key; a frequent key's rows are dealt to parts."""
+    salt = common.free_name(rows, "_salt", lookup)
+    salted = rows.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    return salted.join(salted.select(key, salt).distinct().join(lookup, key), [key, salt]).drop(salt)
 
-    def sign(parts):
-        for part in parts:
-            rows, fps, texts = (part.column(k).to_pylist() for k in range(3))
-            out = []
-            for row, fp, text in zip(rows, fps, texts, strict=True):
-                own = shingle_set(text, shingle)
-                if len(own):
-                    out.append((row, fp, xxhash.xxh128_digest(own.tobytes()), bands(own)))
-            columns = list(zip(*out, strict=True)) if out else [()] * 4
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["row", "fp", "same", "bands"])
+
+def match(rows: DataFrame, names: list[str], keys: DataFrame, how: str) -> DataFrame:
+    """rows that have (left_semi) or lack (left_anti) their names' values in keys (KEY, distinct): these are broadcast if they
+    are counted as few, else rows are dealt once, to as many parts as their size asks for."""
+    right = keys.select(*(F.col(k).alias(n) for k, n in zip(KEY, names, strict=True)))
+    if 40 * keys.count() <= KEY_BYTES:
+        return rows.join(F.broadcast(right), names, how)
+    parts = common.partitions_for(rows)
+    return rows.repartition(parts, *names).join(right.repartition(parts, *names).hint("shuffle_hash"), names, how)
+
+
+def similar_roots(texts: DataFrame, signed: DataFrame, roots: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """fp and root of roots, after the groups of all sets of at least the similarity are joined.
+
+    texts: KEY and text; signed: KEY, fp, same (a digest of the set, null without words) and bands.
+    """
 
     def read(parts):
         for part in parts:
-            sets = [shingle_set(t, shingle).tobytes() for t in part.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.binary())], names=["row", "fp", "hashes"])
+            sets = [shingle_set(t, shingle).tobytes() for t in part.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], names=["same", "hashes"])
 
-    def link(table):
-        fps = table.column("fp").to_pylist()
-        got = set_links([np.frombuffer(x, "u8") for x in table.column("hashes").to_pylist()], similarity)
-        return pa.table({"a": pa.array([fps[x] for x, _ in got], pa.int64()), "b": pa.array([fps[y] for _, y in got], pa.int64())})
+    def compare(parts):
+        for part in parts:
+            near = [bool(set_links([np.frombuffer(x, "u8"), np.frombuffer(y, "u8")], similarity)) for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+            yield part.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+        common.trim()
+
+    def block(table):
+        own, groups = [np.frombuffer(x, "u8") for x in table.column("hashes").to_pylist()], table.column("root").to_numpy()
+        got = set_links(own, similarity, groups)
+        return pa.table({"a": pa.array([groups[x] for x, _ in got], pa.int64()), "b": pa.array([groups[y] for _, y in got], pa.int64())})
 
-    texts = marked.select("__row", "__fp", "text")
-    signed = common.materialise(texts.mapInArrow(sign, "row long, fp long, same binary, bands array<long>"), "bands")
     # equal sets are compared once, by their first row
-    firsts = common.materialise(signed.groupBy("same").agg(F.min(F.struct("row", "fp")).alias("first")).select("same", "first.row", "first.fp"), "firsts")
-    equal = signed.select("same", "fp").distinct().join(firsts.select("same", F.col("fp").alias("b")), "same").select(F.col("fp").alias("a"), "b").where("a <> b")
-    keyed = common.materialise(signed.join(firsts.select("row"), "row", "left_semi").select("row", F.explode("bands").alias("band")), "keyed")
-    # of bands that hold the same rows, one is compared
-    member = F.xxhash64("row").cast("decimal(38,0)")
-    buckets = keyed.groupBy("band").agg(F.count("*").alias("n"), F.sum(member).alias("members"), F.min("row").alias("least")).where("n > 1")
-    buckets = buckets.groupBy("n", "members", "least").agg(F.min("band").alias("band")).select("band")
-    wanted = common.materialise(keyed.join(buckets, "band", "left_semi"), "wanted")
-    sets = common.materialise(texts.join(wanted.select(F.col("row").alias("__row")).distinct(), "__row", "left_semi").mapInArrow(read, "row long, fp long, hashes binary"), "sets")
-    near = wanted.join(sets, "row").select("band", "fp", "hashes").groupBy("band").applyInArrow(link, "a long, b long")
-    return near.union(equal).distinct()
+    firsts = signed.where("same IS NOT NULL").groupBy("same").agg(F.min(F.struct(*KEY, "fp")).alias("first"), F.any_value("bands").alias("bands"))
+    firsts = common.materialise(firsts.select("same", "first.*", "bands"), "firsts")
+    keyed = common.materialise(spread(firsts.select("same", "fp", "bands"), "fp", "same", roots).select("same", "root", F.explode("bands").alias("band")), "keyed")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        keys = common.materialise(firsts.join(wanted, "same", "left_semi").select(*KEY), "wanted")
+        return common.materialise(match(texts, KEY, keys, "left_semi").select("text").mapInArrow(read, "same binary, hashes binary"), "sets")
+
+    def moves(links: DataFrame) -> DataFrame:
+        """root and top: where the links of roots take those that they name."""
+        return components(links).select(F.col("node").alias("root"), F.col("root").alias("top"))
+
+    # each set against the first one of its buckets
+    of_bucket = keyed.groupBy("band").agg(F.min(F.struct("same", "root")).alias("first"), F.min("root").alias("low"), F.max("root").alias("high"))
+    leads = of_bucket.where("low < high").select("band", F.col("first.same").alias("lead"), F.col("first.root").alias("b"))
+    near = common.materialise(spread(keyed, "band", "same", leads), "near")  # buckets of one group have no part in the rest
+    pairs = near.where("root <> b").select("same", F.col("root").alias("a"), "lead", "b").distinct()
+    pairs = common.materialise(pairs.withColumn("_salt", F.pmod(F.xxhash64("same"), F.lit(SALTS))), "pairs")
+    if pairs.isEmpty():
+        return roots
+    sets = sets_of(pairs.select("same").union(pairs.select("lead")).distinct())
+    leaders = pairs.select("lead", "_salt").distinct().join(sets.select(F.col("same").alias("lead"), F.col("hashes").alias("other")), "lead")
+    whole = pairs.join(sets, "same").join(leaders, ["lead", "_salt"]).select("a", "b", "hashes", "other")
+    moved = common.materialise(moves(whole.mapInArrow(compare, "a long, b long")), "moved")
+
+    # buckets of three sets and more that still have several groups: each set of all but the largest group against all others
+    tops = near.select("root").distinct().join(moved, "root", "left").select("root", F.coalesce("top", "root").alias("top"))
+    now = common.materialise(spread(near.select("band", "same", "root"), "root", "same", tops).select("band", "same", F.col("top").alias("root")), "keyed")
+    member = F.xxhash64("same").cast("decimal(38,0)")
+    mixed = now.groupBy("band").agg(F.count("*").alias("n"), F.sum(member).alias("members"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high AND n > 2")
+    mixed = mixed.groupBy("n", "members").agg(F.min("band").alias("band")).select("band")  # of bands that hold the same sets, one
+    mixed = common.materialise(mixed, "mixed")
+    over = roots.select("root").distinct().join(moved, "root", "left").select("root", F.coalesce("top", "root").alias("top"))
+    if mixed.isEmpty():
+        return spread(roots, "root", "fp", over).select("fp", F.col("top").alias("root"))
+    inside = common.materialise(spread(now, "band", "same", mixed), "inside")
+    sizes = inside.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK_SETS)).cast("int")
+    sizes = sizes.select("band", F.col("top.root").alias("top"), blocks(F.col("top.n")).alias("tops"), blocks(F.col("n") - F.col("top.n")).alias("others"))
+    deal = lambda n: F.pmod(F.xxhash64("same"), F.col(n)).cast("int")
+    every = lambda n, make: F.transform(F.sequence(F.lit(0), F.col(n) - 1), make)
+    place = lambda x, y, top: F.struct(x.alias("x"), y.alias("y"), F.lit(top).alias("top_block"))
+    of_other = F.concat(every("others", lambda k: place(F.least(deal("others"), k), F.greatest(deal("others"), k), False)), every("tops", lambda k: place(deal("others"), k, True)))
+    places = F.when(F.col("root") == F.col("top"), every("others", lambda k: place(k, deal("tops"), True))).otherwise(of_other)
+    placed = common.materialise(spread(inside, "band", "same", sizes).select("band", "same", "root", F.explode(places).alias("at")).select("band", "same", "root", "at.*"), "placed")
+    sets = sets_of(placed.select("same").distinct())
+    links = placed.join(sets, "same").groupBy("band", "x", "y", "top_block").applyInArrow(block, "a long, b long")
+    last = common.materialise(moves(links), "moved").select(F.col("root").alias("top"), F.col("top").alias("last"))
+    over = over.join(last, "top", "left").select("root", F.coalesce("last", "top").alias("top"))
+    return spread(roots, "root", "fp", over).select("fp", F.col("top").alias("root"))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, name: str = "fp") -> DataFrame:
@@ -158,24 +224,18 @@ def masks(bits: int, radius: int) -> dict[int, np.ndarray]:
     return {k: np.array([sum(1 << b for b in c) for c in combinations(range(bits), k)], "u8") for k in range(min(radius, bits) + 1)}
 
 
-def _find(parent: np.ndarray, k: int) -> int:
-    while parent[k] != k:
-        parent[k] = k = parent[parent[k]]
-    return k
-
-
 def cell_links(fps: np.ndarray, cell: int, cell_bits: int, half: int) -> np.ndarray:
     """Links (n x 2 fingerprints, a spanning forest) of the distinct fps that share a variant in the cell."""
     fps = np.unique(fps)
     low = 64 - cell_bits
-    away = np.array([bin(x).count("1") for x in ((fps >> np.uint64(low)) ^ np.uint64(cell)).tolist()])
+    away = np.bitwise_count((fps >> np.uint64(low)) ^ np.uint64(cell)).astype("i8")
     fps, left = fps[away <= half], half - away[away <= half]
     if len(fps) < 2:
         return np.empty((0, 2), "u8")
-    found = []
+    root, links = np.arange(len(fps)), []
     per = max(1, sum(len(m) for m in masks(low, half).values()))
     split = max(0, int(np.ceil(np.log2(max(1, len(fps) * per / HELD_VARIANTS)))))
-    split = min(split, low - 1)
+    split = max(0, min(split, low - 1))
     rest = masks(low - split, half)
     rest_low = np.uint64((1 << (low - split)) - 1)
     tail = fps & np.uint64((1 << low) - 1)
@@ -196,84 +256,148 @@ def cell_links(fps: np.ndarray, cell: int, cell_bits: int, half: int) -> np.ndar
         v, o = v[order], o[order]
         new = np.concatenate(([True], v[1:] != v[:-1]))
         first = o[np.flatnonzero(new)][np.cumsum(new) - 1]
-        pairs = np.unique(np.stack([first, o], 1)[~new], axis=0) if not new.all() else np.empty((0, 2), "i8")
-        pairs = pairs[np.bitwise_count(fps[pairs[:, 0]] ^ fps[pairs[:, 1]]) <= 2 * half]
-        found.append(pairs)
-    parent = np.arange(len(fps))
-    links = []
-    for a, b in np.concatenate(found).tolist() if found else []:
-        x, y = _find(parent, a), _find(parent, b)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            links.append((fps[a], fps[b]))
+        apart = ~new & (root[first] != root[o])  # links within a tree of the forest so far say nothing new
+        first, o = first[apart], o[apart]
+        near = np.bitwise_count(fps[first] ^ fps[o]) <= 2 * half
+        _, one = np.unique(root[first[near]] * len(fps) + root[o[near]], return_index=True)
+        for x, y in zip(first[near][one].tolist(), o[near][one].tolist(), strict=True):
+            at, to = x, y
+            while root[at] != at:
+                at = int(root[at])
+            while root[to] != to:
+                to = int(root[to])
+            if at != to:
+                root[max(at, to)] = min(at, to)
+                links.append((fps[x], fps[y]))
+        while not np.array_equal(up := root[root], root):
+            root = up
     return np.array(links, "u8").reshape(-1, 2)
 
 
-def near_links(distinct: DataFrame, radius: int = 4, cell_bits: int = CELL_BITS) -> DataFrame:
-    """Links (a, b) that connect all fingerprints (column fp, distinct) within radius of each other."""
+def near_links(distinct: DataFrame, radius: int = 4, cell_bits: int | None = None) -> DataFrame:
+    """Links (a, b) that connect all fingerprints (column fp, distinct, a written table) within radius of each other.
+
+    cell_bits: top bits of the first cells, by default as many as leave a cell a quarter of HELD_FPS on average.
+    """
     half = radius // 2
     if radius != 2 * half:
         raise ValueError("the radius must be even: each side takes half of it")
-    near = np.concatenate(list(masks(cell_bits, half).values()))
-
-    def emit(parts):
+    if cell_bits is None:
+        total = distinct.count()
+        copies = lambda bits: sum(comb(bits, k) for k in range(half + 1))
+        cell_bits = next((bits for bits in range(4, 40) if 4 * total * copies(bits) <= HELD_FPS << bits), 40)
+
+    def inner(bits: int, more: int, parts, make):
+        """For each row (a cell of bits bits, its fingerprints), the cells of more bits in it that they reach, as arrays."""
+        spots, word = masks(more, half), np.uint64((1 << more) - 1)
         for part in parts:
-            fps = part.column(0).to_numpy(zero_copy_only=False).view("u8")
-            cells = ((fps >> np.uint64(64 - cell_bits))[:, None] ^ near[None, :]).ravel()
-            copies = np.repeat(fps, len(near))
+            for cell, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                fps = np.frombuffer(data, "u8")
+                away = np.bitwise_count((fps >> np.uint64(64 - bits)) ^ np.uint64(cell)).astype("i8") if bits else np.zeros(len(fps), "i8")
+                cells, copies = [np.empty(0, "u8")], [np.empty(0, "u8")]
+                for room in range(half + 1):  # changes that are left for the next bits
+                    own = fps[away == half - room]
+                    near = np.concatenate([spots[k] for k in range(min(room, more) + 1)])
+                    cells.append((((own >> np.uint64(64 - bits - more)) & word)[:, None] ^ near[None, :]).ravel())
+                    copies.append(np.repeat(own, len(near)))
+                yield make(np.concatenate(cells) | np.uint64(cell << more), np.concatenate(copies))
+
+    def emit(bits: int, more: int):
+        def make(cells, copies):
             order = np.argsort(cells, kind="stable")
             cells, copies = cells[order], copies[order]
             cuts = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1]))) if len(cells) else np.array([], int)
             ends = np.append(cuts[1:], len(cells))
-            yield pa.RecordBatch.from_arrays([pa.array(cells[cuts].astype("i8")), pa.array([copies[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())], names=["cell", "fps"])
+            return pa.RecordBatch.from_arrays([pa.array(cells[cuts].astype("i8")), pa.array([copies[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())], names=["cell", "fps"])
+
+        return lambda parts: inner(bits, more, parts, make)
+
+    def count(bits: int, more: int):
+        def make(cells, _):
+            own, n = np.unique(cells, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(own.astype("i8")), pa.array(n.astype("i8"))], names=["cell", "n"])
+
+        return lambda parts: inner(bits, more, parts, make)
+
+    def links(bits: int):
+        def run(key, table):
+            fps = np.frombuffer(b"".join(table.column("fps").to_pylist()), "u8")
+            got = cell_links(fps, key[0].as_py(), bits, half).view("i8")
+            common.trim()
+            return pa.table({"a": pa.array(got[:, 0]), "b": pa.array(got[:, 1])})
 
-    def links(key, table):
-        fps = np.frombuffer(b"".join(table.column("fps").to_pylist()), "u8")
-        got = cell_links(fps, key[0].as_py(), cell_bits, half).view("i8")
-        return pa.table({"a": pa.array(got[:, 0]), "b": pa.array(got[:, 1])})
+        return run
 
-    return distinct.select("fp").mapInArrow(emit, "cell long, fps binary").groupBy("cell").applyInArrow(links, "a long, b long")
+    def packed(parts):
+        for part in parts:
+            fps = part.column(0).to_numpy(zero_copy_only=False).view("u8")
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([fps.tobytes()], pa.binary())], names=["cell", "fps"])
+
+    rows, bits, more, out = distinct.select("fp").mapInArrow(packed, "cell long, fps binary"), 0, cell_bits, None
+    while True:
+        cells = rows.mapInArrow(emit(bits, more), "cell long, fps binary")
+        counts = rows.mapInArrow(count(bits, more), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+        bits += more
+        full = common.materialise(counts.where(F.col("n") > HELD_FPS).select("cell"), "cells") if bits < 56 else None
+        last = full is None or full.isEmpty()
+        found = (cells if last else cells.join(full, "cell", "left_anti")).groupBy("cell").applyInArrow(links(bits), "a long, b long")
+        out = found if out is None else out.union(found)
+        if last:
+            return out
+        rows, more = common.materialise(cells.join(full, "cell", "left_semi"), "cells"), min(MORE_BITS, 60 - bits)
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node that links (a, b) reach, for each node in a link.
 
     Alternates linking each node's larger neighbours, then its smaller ones, to its smallest neighbour; the number of rounds
-    grows with the logarithm of a component's size. Each round is a table in the shared folder.
+    grows with the logarithm of a component's size. Each round is a table in the shared folder, and replaces the one before.
+    A node's neighbours are dealt to parts, as the root of a large component has all of it around.
     """
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+    def with_least(around: DataFrame) -> DataFrame:
+        """a, b and low: the smallest neighbour of a."""
+        salted = around.withColumn("_salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+        parts = salted.groupBy("a", "_salt").agg(F.min("b").alias("low"))
+        low = parts.groupBy("a").agg(F.min("low").alias("low"))
+        return salted.join(parts.drop("low").join(low, "a"), ["a", "_salt"]).drop("_salt")
+
+    def is_forest(edges: DataFrame) -> bool:
+        """Whether each node has one edge to its root, and no root has any."""
+        ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("root")).union(edges.select("b", F.lit(0), F.lit(1)))
+        return ends.groupBy("n").agg(F.sum("out").alias("out"), F.max("root").alias("root")).where("out > 1 OR out + root > 1").isEmpty()
+
     edges = common.materialise(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
-    while True:
+    while not is_forest(edges):  # neither star would change one
         # large star: larger neighbours of each node go to the smallest of the node and its neighbours
-        around = both(edges)
-        low = around.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = around.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
+        large = with_least(both(edges)).where("b > a").select(F.col("b").alias("a"), F.least("a", "low").alias("b")).where("a <> b").distinct()
         # small star: a node's smaller neighbours and the node itself go to the smallest of them
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low, "a")
+        small = with_least(large)
         small = small.select(F.col("b").alias("a"), F.col("low").alias("b")).union(small.select("a", F.col("low").alias("b"))).where("a <> b").distinct()
-        edges = common.materialise(small, "edges")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
-        if state == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
-        before = state
+        old, edges = edges, common.materialise(small, "edges")
+        common.discard(old)
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
 
 
-def groups(prints: DataFrame, radius: int = 4, cell_bits: int = CELL_BITS, others: DataFrame | None = None) -> DataFrame:
-    """prints (doc_id, fp, others) with component_id, the smallest doc_id reachable through links of at most radius bits (and
-    other links of fingerprints, if there are any), and root, one fingerprint of the group."""
+def fingerprint_roots(prints: DataFrame, radius: int, cell_bits: int | None, others: DataFrame | None = None) -> DataFrame:
+    """fp, least (its smallest doc_id) and root (one fingerprint of its group) for each distinct fp of prints (doc_id, fp).
+    others: further links of fingerprints."""
     salted = prints.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))  # a frequent fingerprint's rows are dealt to parts
-    parts = common.materialise(salted.groupBy("fp", "_salt").agg(F.min("doc_id").alias("least")), "parts")
-    least = common.materialise(parts.groupBy("fp").agg(F.min("least").alias("least")), "prints")
+    least = salted.groupBy("fp", "_salt").agg(F.min("doc_id").alias("least")).groupBy("fp").agg(F.min("least").alias("least"))
+    least = common.materialise(least, "prints")
     links = near_links(least, radius, cell_bits)
-    reach = components(common.materialise(links.union(others) if others is not None else links, "links"))
-    # a fingerprint is in the result once: roots are the smallest fingerprints, the id is the smallest doc_id of the group
-    member = least.join(reach, least["fp"] == reach["node"])
-    ids = member.groupBy("root").agg(F.min("least").alias("component"))
-    mapped = reach.join(ids, "root").select(F.col("node").alias("fp"), "component", "root")
-    per_print = least.join(mapped, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
-    return salted.join(parts.drop("least").join(per_print, "fp"), ["fp", "_salt"]).drop("_salt")
+    reach = components(links.union(others) if others is not None else links)
+    return common.materialise(least.join(reach.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+
+
+def groups(prints: DataFrame, radius: int = 4, cell_bits: int | None = None) -> DataFrame:
+    """prints (doc_id, fp, others; a written table) with component_id, the smallest doc_id reachable through links of at most
+    radius bits, and root, one fingerprint of the group."""
+    roots = fingerprint_roots(prints, radius, cell_bits)
+    ids = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    per_print = common.materialise(spread(roots.select("fp", "root"), "root", "fp", ids), "groups")
+    return spread(prints, "fp", "doc_id", per_print)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,11 +408,40 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 4, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group, that of the smallest doc_id (null only if it has no other). Rows are linked within the
-    radius, or by shingle sets of at least the Jaccard similarity."""
-    marked = fingerprints(docs, shingle, name="__fp").withColumn("__row", F.monotonically_increasing_id())
-    marked = common.materialise(marked, "marked")  # the row numbers are fixed from here on
-    prints = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__fp").alias("fp"), "__row")
-    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))
-    kept = groups(prints, radius, others=similar_links(marked, shingle, similarity)).groupBy("root").agg(best.alias("best")).select(F.col("best")["__row"].alias("__row"))
-    parts = common.partitions_for(marked)  # texts are dealt by their size
-    return marked.repartition(parts, "__row").join(kept.repartition(parts, "__row").hint("shuffle_hash"), "__row", "left_semi").select(*docs.columns)
+    radius, or by shingle sets of at least the Jaccard similarity. Texts are not written between the steps."""
+    common.small_batches(docs.sparkSession)
+    own = [common.free_name(docs, f"_{k}") for k in KEY]
+    values = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").isNull(), F.xxhash64("text")
+    keyed = docs.withColumns(dict(zip(own, values, strict=True)))
+    texts = keyed.select(*(F.col(o).alias(k) for o, k in zip(own, KEY, strict=True)), "text")
+
+    def sign(parts):
+        for part in parts:
+            fps, same, marks = [], [], []
+            for text in part.column(len(KEY)).to_pylist():
+                hashes = shingle_hashes(text, shingle)
+                fps.append(print_of(hashes))
+                found = np.unique(np.frombuffer(hashes, ">u8").astype("u8"))
+                same.append(xxhash.xxh128_digest(found.tobytes()) if len(found) else None)
+                marks.append(bands(found) if len(found) else [])
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(KEY)], pa.array(np.array(fps, "u8").view("i8")), pa.array(same, pa.binary()), pa.array(marks, pa.list_(pa.int64()))], names=[*KEY, "fp", "same", "bands"])
+        common.trim()
+
+    signed = common.materialise(texts.mapInArrow(sign, "row_doc long, row_none boolean, row_key long, fp long, same binary, bands array<long>"), "signed")
+    rows = common.materialise(signed.groupBy(*KEY, "fp").agg(F.count("*").alias("n")), "rows")
+    equal = signed.where("same IS NOT NULL").select("same", "fp").distinct()
+    equal = equal.join(equal.groupBy("same").agg(F.min("fp").alias("b")), "same").where("fp <> b").select(F.col("fp").alias("a"), "b")
+    roots = fingerprint_roots(rows.select(F.col("row_doc").alias("doc_id"), "fp"), radius, None, equal).select("fp", "root")
+    roots = common.materialise(similar_roots(texts, signed, roots, shingle, similarity), "roots")
+    ranked = common.materialise(spread(rows, "fp", "row_key", roots).withColumn("me", F.struct("row_none", "row_doc", "row_key")), "rows")
+    best = ranked.groupBy("root").agg(F.min("me").alias("best"))
+    ranked = spread(ranked, "root", "row_key", best)
+    dropped = common.materialise(ranked.where("me <> best").select(*KEY), "dropped")
+    twice = common.materialise(ranked.where("me = best AND n > 1").select(*KEY), "twice")  # kept rows that are repeated
+    kept = match(keyed, own, dropped, "left_anti")
+    if twice.isEmpty():
+        return kept.select(*docs.columns)
+    hashed = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    whole = F.struct(*(F.col(c) for c in docs.columns))
+    once = match(kept, own, twice, "left_semi").groupBy(*own).agg(F.min_by(whole, F.xxhash64(*hashed)).alias("one")).select("one.*")
+    return match(kept, own, twice, "left_anti").select(*docs.columns).union(once)

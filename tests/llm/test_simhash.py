@@ -149,3 +149,49 @@ def test_set_links_connect_what_all_pairs_connect():
     links = simhash.set_links(sets, 0.8)
     assert roots(links) == roots([(i, j) for i in range(80) for j in range(i) if similar(sets[i], sets[j])])
     assert all(similar(sets[i], sets[j]) for i, j in links) and len(links) < 80
+
+
+def test_full_cells_are_cut_further(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 3, dtype="u8")
+    one, two = rng.integers(0, 64, (2, 80), dtype="u8")
+    fps = np.unique(np.concatenate([x ^ (np.uint64(1) << one) ^ (np.uint64(1) << two) for x in base]))  # all but a few bits are shared
+    prints = list(enumerate(fps.tolist()))
+    frame = spark.createDataFrame([(k, int(np.uint64(f).view("i8"))) for k, f in prints], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "HELD_FPS", 15)
+    for bits in (None, 4):
+        got = sorted(((r.doc_id, f"{r.fp & (1 << 64) - 1:016x}", r.component_id) for r in simhash.groups(frame, cell_bits=bits).collect()), key=str)
+        assert got == brute_groups(prints)
+
+
+def test_sets_of_one_bucket_in_blocks(spark, monkeypatch):
+    """Many texts that share much, most of them not enough: buckets hold several groups, in several blocks."""
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(simhash, "BLOCK_SETS", 4)
+    base = [f"w{k}" for k in rng.integers(0, 9000, 300)]
+    texts = []
+    for _ in range(60):
+        text = list(base)
+        for at in rng.integers(0, 300, int(rng.integers(2, 12))):
+            text[at] = f"x{rng.integers(0, 10**6)}"
+        texts.append(" ".join(text))
+    sets = [brute_sets(t) for t in texts]
+    prints = [brute_print(t, 5) for t in texts]
+    bits = {(i, j): (prints[i] ^ prints[j]).bit_count() for i in range(60) for j in range(i)}
+    parent = list(range(len(texts)))
+    for _ in texts:
+        for i in range(len(texts)):
+            for j in range(i):
+                if bits[i, j] <= 4 or 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                    parent[i] = parent[j] = min(parent[i], parent[j])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(parent)
+    assert len(set(parent)) > 5
+
+
+def test_keep_one_keeps_clashing_names(spark):
+    rows = [(1, "same text", "a", 1, 5), (1, "same text", "b", 2, 6), (2, "same text", "c", 3, 7), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string, __row int, row_key int").withColumnRenamed("row_key", "_row_key")
+    got = simhash.keep_one(docs).collect()
+    assert sorted([tuple(r) for r in got], key=str)[-1] == (None,) * 5 and len(got) == 2
+    assert {tuple(r) for r in got} <= set(rows)
