@@ -4,8 +4,9 @@ Rules look at statistics of a whole text and vote good (1), bad (-1) or abstain
 of all vote patterns (a bounded table, however many documents there are) estimates what each rule votes on good and on bad
 documents; the posterior probability of good replaces a filter that all rules must pass.
 
-Defined cases: a null or empty text has no words and fails the base rule; a null doc_id is kept as it is; repeated rows are
-counted and scored each; an empty table gives no rows; other columns are passed on.
+Defined cases: a null or empty text has no words and fails the base rule; a very long text is read whole; a null doc_id is
+kept as it is; repeated rows are counted and scored each; texts with equal votes (ties) have equal posteriors, and one of
+exactly 0.5 is kept; an empty table gives no rows; other columns, whatever their names, are passed on.
 """
 
 from __future__ import annotations
@@ -98,22 +99,30 @@ RULES = {
 }
 
 
+def _judge(text: str | None) -> tuple:
+    """The base counts, base_failed and pattern of a text."""
+    base, more = statistics(text)
+    failed = base["n_words"] < 50 or 100 * base["n_repeat_words"] > 50 * base["n_words"]
+    return *(base[n] for n in STATS), failed, "".join(str(rule(base, more) + 1) for rule in RULES.values())
+
+
+def added_names(docs: DataFrame) -> list[str]:
+    """Names of the columns that vote() adds: those of STATS, base_failed and pattern after an underscore, more where docs has them."""
+    return [common.free_name(docs, f"_{n}") for n in (*STATS, "base_failed", "pattern")]
+
+
 def vote(docs: DataFrame) -> DataFrame:
-    """docs with the base counts, base_failed and pattern: a digit for each rule, 0 bad, 1 none, 2 good."""
+    """docs with the base counts, base_failed and pattern (a digit for each rule, 0 bad, 1 none, 2 good), named by added_names()."""
     common.small_batches(docs.sparkSession)
     at = docs.columns.index("text")
-    added = {f"_{n}": "long" for n in STATS} | {"_base_failed": "boolean", "_pattern": "string"}
+    kinds = [pa.int64()] * len(STATS) + [pa.bool_(), pa.string()]
+    added = dict(zip(added_names(docs), ["long"] * len(STATS) + ["boolean", "string"], strict=True))
     schema = docs.withColumns({n: F.lit(None).cast(t) for n, t in added.items()}).schema
 
     def run(parts):
         for part in parts:
-            rows = []
-            for text in part.column(at).to_pylist():
-                base, more = statistics(text)
-                failed = base["n_words"] < 50 or 100 * base["n_repeat_words"] > 50 * base["n_words"]
-                rows.append((*(base[n] for n in STATS), failed, "".join(str(rule(base, more) + 1) for rule in RULES.values())))
+            rows = [_judge(text) for text in part.column(at).to_pylist()]
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(added)
-            kinds = [pa.int64()] * len(STATS) + [pa.bool_(), pa.string()]
             yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[*part.schema.names, *added])
 
     return docs.mapInArrow(run, schema)
@@ -160,8 +169,26 @@ def decide(voted: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """docs that are kept, as they are."""
-    return decide(common.materialise(vote(docs), "votes")).where("_kept").select(*docs.columns)
+    """docs that are kept, as they are. Texts are judged twice, once for the counts of patterns, rather than written between."""
+    common.small_batches(docs.sparkSession)
+    at, schema = docs.columns.index("text"), docs.schema
+
+    def count(parts):
+        counts = Counter(pattern for part in parts for *_, failed, pattern in map(_judge, part.column(0).to_pylist()) if not failed)
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["pattern", "n"])
+
+    counted = docs.select("text").mapInArrow(count, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
+    patterns = {r[0]: r[1] for r in counted.collect()}  # at most 3 ^ rules rows
+    good = docs.sparkSession.sparkContext.broadcast({k for k, p in fit(patterns).items() if p >= 0.5})  # bounded like the patterns
+
+    def run(parts):
+        kept = good.value
+        for part in parts:
+            judged = (_judge(t)[-2:] for t in part.column(at).to_pylist())
+            yield part.filter(pa.array([not failed and pattern in kept for failed, pattern in judged], pa.bool_()))
+        common.trim()
+
+    return docs.mapInArrow(run, schema)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import public_tokenizers
 from framelake.llm import common, decontaminate, line_dedup, quality_rules, simhash
 from tokenizers import Tokenizer
 
-from tests.llm.test_simhash import brute_groups, brute_print
+from tests.llm.test_simhash import brute_print, brute_sets
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,13 +21,26 @@ def brute_lines(rows):
     return {d: "\n".join(x for x in t.split("\n") if gone.get(key(x), d) == d) for d, t in rows.items()}
 
 
+def brute_keep(rows):
+    """The smallest doc_id of each group: linked are 4 bits or fewer of fingerprints, or a similarity of 0.8 or more of sets."""
+    docs = sorted(rows)
+    prints, sets = {d: brute_print(rows[d], 5) for d in docs}, {d: brute_sets(rows[d]) for d in docs}
+    least = {d: d for d in docs}
+    for k, a in enumerate(docs):
+        for b in docs[:k]:
+            shared = len(sets[a] & sets[b])
+            if (prints[a] ^ prints[b]).bit_count() <= 4 or shared and 10 * shared >= 8 * len(sets[a] | sets[b]):
+                low, high = sorted((least[a], least[b]))
+                least = {d: low if x == high else x for d, x in least.items()}
+    return set(least.values())
+
+
 def test_stages_against_brute_force(spark):
     docs = common.documents(spark, SF)
     texts = {r.doc_id: r.text for r in docs.collect()}
     kept = {r.doc_id for r in quality_rules.op4_quality_rules(spark, SF).where("kept").collect()}
     rows = brute_lines({d: t for d, t in texts.items() if d in kept})
-    groups = brute_groups([(d, brute_print(t, 5)) for d, t in rows.items()])
-    rows = {d: rows[d] for d, _, least in groups if d == least}
+    rows = {d: rows[d] for d in brute_keep(rows)}
     flat = lambda t: f" {' '.join(decontaminate.words_of(t))} "
     items = [flat(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     rows = {d: t for d, t in rows.items() if not any(i in flat(t) for i in items)}
