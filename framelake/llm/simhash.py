@@ -40,6 +40,8 @@ HELD_FPS, HELD_VARIANTS = 50_000, 2_000_000
 MORE_BITS = 6
 #: Parts that one fingerprint's documents are dealt to.
 SALTS = 64
+#: Links that a task reads before it makes stars of them.
+HELD_LINKS = 1_000_000
 #: MinHash bands and values in each: sets of similarity 0.8 share a band with probability 1 - (1 - 0.8^4)^20 = 0.99997.
 BANDS, BAND_ROWS = 20, 4
 #: Sets of one of the two blocks that a task compares.
@@ -347,14 +349,50 @@ def near_links(distinct: DataFrame, radius: int = 4, cell_bits: int | None = Non
         rows, more = common.materialise(cells.join(full, "cell", "left_semi"), "cells"), min(MORE_BITS, 60 - bits)
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, smallest node of its group) that connect what the links (a, b) connect."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    root, x, y = np.arange(len(nodes)), at[: len(a)], at[len(a) :]
+    while (apart := root[x] != root[y]).any():
+        x, y = x[apart], y[apart]
+        np.minimum.at(root, np.maximum(root[x], root[y]), np.minimum(root[x], root[y]))
+        while not np.array_equal(up := root[root], root):
+            root = up
+    moved = root != np.arange(len(nodes))
+    return nodes[moved], nodes[root[moved]]
+
+
+def contracted(links: DataFrame) -> DataFrame:
+    """Links (a, b) of the groups that links connect, each task's share as stars; a task holds HELD_LINKS of its links, and those that they left, at once."""
+
+    def run(parts):
+        a, b = np.empty(0, "i8"), np.empty(0, "i8")
+        new, held = [], 0
+        for part in parts:
+            new.append([part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)])
+            held += part.num_rows
+            if held >= HELD_LINKS:
+                a, b = stars(*(np.concatenate((old, *more)) for old, more in zip((a, b), zip(*new, strict=True), strict=True)))
+                new, held = [], 0
+        if new:
+            a, b = stars(*(np.concatenate((old, *more)) for old, more in zip((a, b), zip(*new, strict=True), strict=True)))
+        for k in range(0, len(a), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(a[k : k + 100_000]), pa.array(b[k : k + 100_000])], names=["a", "b"])
+
+    return links.select("a", "b").mapInArrow(run, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node that links (a, b) reach, for each node in a link.
 
-    Alternates linking each node's larger neighbours, then its smaller ones, to its smallest neighbour; the number of rounds
-    grows with the logarithm of a component's size. Each round is a table in the shared folder, and replaces the one before.
-    A node's neighbours are dealt to parts, as the root of a large component has all of it around.
+    Each task first makes stars of its share of the links. Then rounds alternate linking each node's larger neighbours, then
+    its smaller ones, to its smallest neighbour; the number of rounds grows with the logarithm of a component's size. Each half
+    round is a table in the shared folder, so no plan names another twice over, and replaces the one before. A node's
+    neighbours are dealt to parts, as the root of a large component has all of it around.
     """
-    both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    edge = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    each = lambda rows, *edges: rows.select(F.explode(F.array(*edges)).alias("e")).select("e.*").where("a <> b")
+    a, b = F.col("a"), F.col("b")
 
     def with_least(around: DataFrame) -> DataFrame:
         """a, b and low: the smallest neighbour of a."""
@@ -365,19 +403,19 @@ def components(links: DataFrame) -> DataFrame:
 
     def is_forest(edges: DataFrame) -> bool:
         """Whether each node has one edge to its root, and no root has any."""
-        ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("root")).union(edges.select("b", F.lit(0), F.lit(1)))
-        return ends.groupBy("n").agg(F.sum("out").alias("out"), F.max("root").alias("root")).where("out > 1 OR out + root > 1").isEmpty()
+        ends = edges.select(F.explode(F.array(F.struct(a.alias("n"), F.lit(1).alias("out")), F.struct(b.alias("n"), F.lit(0).alias("out")))).alias("e")).select("e.*")
+        return ends.groupBy("n").agg(F.sum("out").alias("out"), F.min("out").alias("least")).where("out > 1 OR out > least").isEmpty()
 
-    edges = common.materialise(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    edges = common.materialise(contracted(links.where("a <> b")).distinct(), "edges")
     while not is_forest(edges):  # neither star would change one
         # large star: larger neighbours of each node go to the smallest of the node and its neighbours
-        large = with_least(both(edges)).where("b > a").select(F.col("b").alias("a"), F.least("a", "low").alias("b")).where("a <> b").distinct()
+        around = each(contracted(edges), edge(a, b), edge(b, a))
+        large = common.materialise(with_least(around).where("b > a").select(b.alias("a"), F.least("a", "low").alias("b")).where("a <> b").distinct(), "edges")
+        common.discard(edges)
         # small star: a node's smaller neighbours and the node itself go to the smallest of them
-        small = with_least(large)
-        small = small.select(F.col("b").alias("a"), F.col("low").alias("b")).union(small.select("a", F.col("low").alias("b"))).where("a <> b").distinct()
-        old, edges = edges, common.materialise(small, "edges")
-        common.discard(old)
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
+        edges = common.materialise(each(with_least(large), edge(b, F.col("low")), edge(a, F.col("low"))).distinct(), "edges")
+        common.discard(large)
+    return edges.select(a.alias("node"), b.alias("root")).union(edges.select("b", "b").distinct())
 
 
 def fingerprint_roots(prints: DataFrame, radius: int, cell_bits: int | None, others: DataFrame | None = None) -> DataFrame:

@@ -1,6 +1,9 @@
 import numpy as np
+import pytest
 import xxhash
 from framelake.llm import common, simhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -195,3 +198,39 @@ def test_keep_one_keeps_clashing_names(spark):
     got = simhash.keep_one(docs).collect()
     assert sorted([tuple(r) for r in got], key=str)[-1] == (None,) * 5 and len(got) == 2
     assert {tuple(r) for r in got} <= set(rows)
+
+
+def _smallest(links: set[tuple[int, int]]) -> dict[int, int]:
+    around: dict[int, set[int]] = {}
+    for a, b in links:
+        around.setdefault(a, set()).add(b)
+        around.setdefault(b, set()).add(a)
+    out: dict[int, int] = {}
+    for start in sorted(around):
+        todo = [start] if start not in out else []
+        while todo:
+            if (node := todo.pop()) not in out:
+                out[node] = start
+                todo += around[node]
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.sets(st.tuples(st.integers(-9, 9), st.integers(-9, 9)), max_size=25))
+def test_stars_keep_groups(links):
+    a, b = (np.array([x[k] for x in sorted(links)], "i8") for k in (0, 1))
+    own = dict(zip(*(x.tolist() for x in simhash.stars(a, b)), strict=True))
+    assert own == {n: r for n, r in _smallest(links).items() if n != r}
+
+
+@pytest.mark.parametrize("held", [3, 1_000_000])
+def test_components_of_paths_stars_and_rings(spark, monkeypatch, held):
+    monkeypatch.setattr(simhash, "HELD_LINKS", held)
+    path = {(k, k + 1) for k in range(0, 60)}
+    star = {(100, 100 + k) for k in range(1, 80)}
+    ring = {(300 + k, 300 + (k + 7) % 50) for k in range(50)}
+    links = path | star | ring | {(-5, 999), (7, 7)}
+    rows = spark.createDataFrame(sorted(links), "a long, b long").repartition(7)
+    found = {r.node: r.root for r in simhash.components(rows).collect()}
+    assert found == _smallest(links)
+    assert simhash.components(rows.where("false")).isEmpty()
