@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from framelake import schema
 from framelake.operators import audit, features, framebank, index, metrics, ranking
-from framelake.sources import files, run
+from framelake.sources import files, run, spec
 
 _POINT = "query_id STRING, video_id STRING, start_frame BIGINT, end_frame BIGINT"
 TRUTHS = {"kis": _POINT, "qa": _POINT + ", accepted_answers ARRAY<STRING>", "trake": "query_id STRING, video_id STRING, intervals ARRAY<ARRAY<BIGINT>>"}
@@ -79,7 +79,7 @@ def demo(spark: SparkSession, config: dict, config_path: str, root: str) -> dict
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="framelake")
     jobs = parser.add_subparsers(dest="job", required=True)
-    for name, options in {"audit": ["config"], "frame-bank": ["manifest", "out"], "features": ["frames", "out"], "search": ["store", "frames", "query"], "evaluate": ["ground-truth", "predictions"], "demo": ["config", "out"]}.items():
+    for name, options in {"audit": ["config"], "frame-bank": ["manifest", "out"], "features": ["frames", "out"], "search": ["store", "frames", "query"], "evaluate": ["ground-truth", "predictions"], "demo": ["config", "out"], "spec-check": ["spec"], "spec-assets": ["spec", "out"]}.items():
         job = jobs.add_parser(name)
         for option in options:
             job.add_argument(f"--{option}", required=True)
@@ -102,6 +102,10 @@ def main(args: list[str] | None = None) -> int:
             out = {"results": [r.asDict() for r in retrieve(spark, a.store, a.frames, a.query, a.top_k).orderBy("rank").collect()]}
         elif a.job == "evaluate":
             out = evaluate(spark, a.task, a.ground_truth, a.predictions)
+        elif a.job == "spec-check":
+            out = {"faults": [r.asDict() for r in spec.faults(spark, spec.load(a.spec), 9, True).orderBy("check", "page_id", "subject").collect()]}
+        elif a.job == "spec-assets":
+            out = spec.generate(spark, a.spec, a.out)
         else:
             out = demo(spark, run.load_config(a.config), a.config, a.out)
     except (OSError, ValueError) as error:

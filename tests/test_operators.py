@@ -230,6 +230,57 @@ def test_spec_faults(spark):
     assert {(r.field, r.value, r.nodes) for r in spec.summary(spark, spec_of()).collect()} >= {("maturity", "PLANNED", 2), ("architecture_owner", "o", 2)}
 
 
+def whole_spec(**change):
+    import copy
+
+    from framelake.sources import spec
+
+    whole = spec_of(page={"id": "PAGE_00", "description": "d", "layout": {}, "notes": []})
+    for part in whole["pages"][0]["nodes"]:
+        part["number"] = 1
+    whole |= {"project": {"version": "1.1"}, "models": {"m": dict.fromkeys(spec.KEYS["model"]) | {"source_basis": "TEAM_DECISION", "maturity": "PLANNED", "validation_status": "UNSELECTED"}}}
+    whole |= {registry: dict.fromkeys(spec.TAXONOMIES[field]) for registry, field in (("criticalities", "criticality"), ("maturities", "maturity"), ("source_bases", "source_basis"))}
+    whole["styles"]["fonts"] = {"page_title": 24, "group_title": 18, "node": 10}
+    whole = copy.deepcopy(whole) | {k: v for k, v in change.items() if k not in ("page", "node", "edge")}
+    whole["pages"][0].update(change.get("page", {}))
+    whole["pages"][0]["nodes"][0].update(change.get("node", {}))
+    whole["pages"][0]["edges"][0].update(change.get("edge", {}))
+    return whole
+
+
+def test_whole_spec_faults(spark):
+    from framelake.sources import spec
+
+    checks = lambda **change: sorted({r.check for r in spec.faults(spark, whole_spec(**change), 1).collect()})
+    assert checks() == []
+    assert checks(project={"version": 1.0}, statuses={}, maturities={"PLANNED": 1}, models={}) == ["old key", "registry", "version"]
+    model = {"source_basis": "TEAM_DECISION", "maturity": "PLANNED", "validation_status": "UNSELECTED", "selected": "x"}
+    assert checks(models={"m": model}, styles={"layers": {"l": {}}, "fonts": {"node": 9, "page_title": 23}}) == ["model lacks keys", "selection without a decision", "small font", "unselected model with a selection"]
+    assert checks(node={"status": "x", "processing": ["Execute bounded  retry policy"], "implementation_owner": []}, edge={"waypoints": [{"x": 1}]}, page={"mermaid_file": "../p.mmd"}) == ["empty implementation_owner", "file name", "old key", "placeholder", "waypoint"]
+    assert checks(node={"type": "graph_node", "title": "Query Event Graph", "inputs": [3]}) == ["graph node on another page", "graph node type", "inputs is no list of texts", "module as a graph node"]
+    assert checks(node={"type": "decision", "title": "Frame Bank"}, page={"id": "PAGE_07"}) == ["module as a decision", "pages or their order"]
+    missing = [(r.check, r.subject) for r in spec.faults(spark, whole_spec(), 1, True).collect()]
+    assert {c: sum(x == c for x, _ in missing) for c, _ in missing} == {"missing graph node type": 6, "missing graph relation": 7, "missing criticality": 4, "missing module": 4}
+
+
+def test_spec_assets(spark, tmp_path):
+    import hashlib
+
+    import yaml
+    from framelake.sources import spec
+
+    path = tmp_path / "s.yaml"
+    path.write_text(yaml.safe_dump(whole_spec()), encoding="utf-8")
+    out = spec.generate(spark, path, tmp_path / "out", 1, False)
+    assert out["spec_sha256"] == hashlib.sha256(path.read_bytes()).hexdigest()
+    assert (out["page_count"], out["node_count"], out["edge_count"]) == (1, 2, 1)
+    assert sorted(str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*.*")) == ["generated/quality_report.md", "generated/summary.json", "mermaid/p.mmd"]
+    path.write_text(yaml.safe_dump(whole_spec(page={"mermaid_file": "../../../p.mmd"})), encoding="utf-8")
+    with pytest.raises(ValueError, match="file name"):
+        spec.generate(spark, path, tmp_path / "more", 1, False)
+    assert not (tmp_path / "more").exists()
+
+
 def test_guards_are_not_pruned(spark):
     from framelake import schema
 
