@@ -175,7 +175,10 @@ class Model:
         row = np.full(len(self.idf), -1)
         row[terms] = np.arange(len(terms))
         held = [(row[rows[k][0]].tolist(), rows[k][1]) for k in own]
-        table = spark.createDataFrame(held, "terms array<int>, weights array<double>").repartition(1)
+        kinds = [pa.list_(pa.int32()), pa.list_(pa.float64())]
+        held_table = pa.table([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=["terms", "weights"])
+        # as Arrow, so no workers for rows are started; with one part the sums by column would share a stage, and so twice the workers, with what makes the parts
+        table = spark.createDataFrame(held_table).repartition(2)
         right = randomised_svd(table, len(terms), self.settings.rank)
         latent = np.stack([np.array(w) @ right[t] for t, w in held])
         return row, (self.idf[terms, None] * right).astype("f4"), latent.astype("f4"), int(own[0])

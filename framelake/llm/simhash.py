@@ -335,7 +335,7 @@ def near_links(distinct: DataFrame, radius: int = 4, cell_bits: int | None = Non
             fps = part.column(0).to_numpy(zero_copy_only=False).view("u8")
             yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([fps.tobytes()], pa.binary())], names=["cell", "fps"])
 
-    rows, bits, more, out = distinct.select("fp").mapInArrow(packed, "cell long, fps binary"), 0, cell_bits, None
+    rows, bits, more, out = common.materialise(distinct.select("fp").mapInArrow(packed, "cell long, fps binary"), "packed"), 0, cell_bits, None
     while True:
         cells = rows.mapInArrow(emit(bits, more), "cell long, fps binary")
         counts = rows.mapInArrow(count(bits, more), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
@@ -406,7 +406,9 @@ def components(links: DataFrame) -> DataFrame:
         ends = edges.select(F.explode(F.array(F.struct(a.alias("n"), F.lit(1).alias("out")), F.struct(b.alias("n"), F.lit(0).alias("out")))).alias("e")).select("e.*")
         return ends.groupBy("n").agg(F.sum("out").alias("out"), F.min("out").alias("least")).where("out > 1 OR out > least").isEmpty()
 
-    edges = common.materialise(contracted(links.where("a <> b")).distinct(), "edges")
+    links = common.materialise(links.where("a <> b"), "links")  # what makes them is Python too, and a stage with two such steps holds twice the workers
+    edges = common.materialise(contracted(links).distinct(), "edges")
+    common.discard(links)
     while not is_forest(edges):  # neither star would change one
         # large star: larger neighbours of each node go to the smallest of the node and its neighbours
         around = each(contracted(edges), edge(a, b), edge(b, a))

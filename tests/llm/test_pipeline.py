@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import corpus_pipeline
@@ -68,3 +69,35 @@ def test_stages_keep_the_columns(spark, odd_docs):
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
     assert line_dedup.dedup_lines(docs).count() == docs.count() and simhash.keep_one(docs).count() == 7
+
+
+def python_steps_in_one_stage(df):
+    """Python steps whose rows go, without an exchange, to another one's: a task then runs a worker for each."""
+    above, found = [], []
+    for line in df._jdf.queryExecution().executedPlan().treeString().splitlines():
+        at = re.search(r"[A-Z]", line)
+        if at is None:
+            continue
+        above = [x for x in above if x[0] < at.start()]
+        near = []
+        for depth, name in reversed(above):
+            if "Exchange" in name:
+                break
+            near.append(name)
+        if re.search(r"InArrow|Python", line) and any(re.search(r"InArrow|Python", name) for name in near):
+            found.append(line)
+        above.append((at.start(), line.split("[")[0]))
+    return found
+
+
+def test_stages_hold_one_python_step_a_task(spark, monkeypatch):
+    docs = common.documents(spark, SF)
+    once = docs.mapInArrow(lambda parts: parts, docs.schema)
+    assert python_steps_in_one_stage(once.mapInArrow(lambda parts: parts, docs.schema)) and not python_steps_in_one_stage(once)
+    frame, seen = type(docs), []
+    write, collect = common.materialise, frame.collect
+    monkeypatch.setattr(common, "materialise", lambda df, tag: (seen.append(df), write(df, tag))[1])
+    monkeypatch.setattr(frame, "collect", lambda df: (seen.append(df), collect(df))[1])
+    monkeypatch.setattr(simhash, "HELD_FPS", 40)  # some cells are cut
+    corpus_pipeline.run(spark, SF).collect()
+    assert len(seen) > 20 and [x for df in seen for x in python_steps_in_one_stage(df)] == []
