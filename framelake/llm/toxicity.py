@@ -1,18 +1,19 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Every labelled row of the sample is an example, over the whole vocabulary: lower-cased words, and the first letters of longer
-ones. As the rest of a text would drown an insult, a text is represented by its best window of words, the one whose words go
-most with the label, and a term's TF-IDF weight is scaled by how far its association with the label exceeds what the best of
-as many unrelated terms would reach; no term's scale is zero. Examples are stored in an inverted index of aligned blocks: for
-each term and block of examples the largest weight, which bounds any cosine in the block, and the block's postings. A query
-scores the blocks with the highest bounds, and then those whose bound reaches the k-th cosine so far, so its k neighbours are exact. Their
+ones. Texts and examples are vectors of all their words, wherever they stand. As the rest of a text would drown an insult, a
+term's TF-IDF weight is scaled by how far its association with the label exceeds what the best of as many unrelated terms would
+reach; no term's scale is zero. Examples are stored in an inverted index of aligned blocks: for each term and block of examples
+the largest weight, which bounds any cosine in the block, and the block's postings. The terms with the most postings are rows of
+a matrix instead, and a batch of queries is multiplied with it, which gives their exact part of all cosines. A query scores the
+blocks with the highest bounds, and then those whose bound reaches the k-th cosine so far, so its k neighbours are exact. Their
 labels vote, weighted by distance; a logistic curve fitted on leave-one-out votes calibrates the score, and the neighbours are
-returned as evidence.
+returned as evidence, with the text's passage of words that go most with the label, which no score depends on.
 
 The index is fitted in one task on a bounded, hash-drawn sample of labelled rows, and broadcast; its size is bounded by it.
 
 Defined cases: a text without any known term (null or empty too) has no neighbours, and its vote is the share of label 1; a
-very long text is read whole; a null doc_id takes no part in learning; repeated rows are scored each; ties between windows go
+very long text is read whole; a null doc_id takes no part in learning; repeated rows are scored each; ties between passages go
 to the first one, ties in cosine to the example that was drawn first; without a labelled row every score is 0.5; an empty table
 gives no rows; other columns, whatever their names, are ignored.
 """
@@ -35,6 +36,10 @@ from framelake.llm.quality_model import labelled_sample
 _WORD = re.compile(r"[^\W\d_]+")
 PREFIX = 5
 BLOCK = 64
+#: Terms with the most postings, whose weights are a matrix; vectors that are multiplied with it at once.
+COMMON, AT_ONCE = 256, 128
+#: Words whose terms a worker keeps at most.
+KEPT_WORDS = 200_000
 
 
 @dataclass(frozen=True)
@@ -43,9 +48,9 @@ class Settings:
     rows: int = 12_000
     chars: int = 10_000
     k: int = 15
-    #: Words of a window, and the scale of a term without association.
+    #: Words of the passage that is shown, and the scale of a term without association.
     window: int = 12
-    floor: float = 0.1
+    floor: float = 0.03
 
 
 def _terms(words: list[str]) -> list[str]:
@@ -61,7 +66,7 @@ def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Index:
     def __init__(self, rows: list[tuple[str | None, int, int]], settings: Settings):
         """rows: text, label (0 or 1), doc_id."""
-        self.k, self.window = settings.k, settings.window
+        self.k, self.window, self.known = settings.k, settings.window, {}
         words = [_WORD.findall((text or "").lower()) for text, _, _ in rows]
         self.labels = np.array([y for _, y, _ in rows], float)
         self.docs, self.rank = np.array([d for _, _, d in rows], "i8"), np.arange(len(rows))
@@ -77,11 +82,10 @@ class Index:
         excess = {t: r for t, df in frequency.items() if df > 1 and abs(r := self._association(positive[t], df) / least) > 1}
         self.telling = {t: r - 1 for t, r in excess.items() if r > 0}
         self.vocabulary = {t: k for k, t in enumerate(frequency)}
-        bags = [Counter(_terms(self._best(own))) for own in words]
-        inside = Counter(t for bag in bags for t in bag)
+        bags = [Counter(_terms(own)) for own in words]
         n = len(rows)
         scale = [settings.floor + max(0.0, abs(excess.get(t, 0.0)) - 1) for t in frequency]
-        self.idf = np.log((n + 1) / (np.array([inside[t] for t in frequency], float) + 0.5)) * np.array(scale)
+        self.idf = np.log((n + 1) / (np.array(list(frequency.values()), float) + 0.5)) * np.array(scale)
         vectors = [self._weigh({self.vocabulary[t]: c for t, c in bag.items()}) for bag in bags]
         order = sorted(range(n), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]) if len(vectors[i][0]) else -1, i))  # alike examples share blocks
         vectors, self.labels, self.docs, self.rank = [vectors[i] for i in order], self.labels[order], self.docs[order], self.rank[order]
@@ -90,6 +94,13 @@ class Index:
         weight = np.concatenate([v[1] for v in vectors] or [np.empty(0)])
         example = np.repeat(np.arange(n), [len(v[0]) for v in vectors]).astype("i8")
         self.blocks = -(-n // BLOCK)
+        common = np.argsort(-np.bincount(term, minlength=len(self.vocabulary)), kind="stable")[:COMMON]
+        self.place = np.full(len(self.vocabulary), -1)  # of common terms, in the matrix
+        self.place[common] = np.arange(len(common))
+        inside = self.place[term] >= 0 if n else np.empty(0, bool)
+        self.matrix = np.zeros((len(common), self.blocks * BLOCK))
+        self.matrix[self.place[term[inside]], example[inside]] = weight[inside]
+        term, weight, example = term[~inside], weight[~inside], example[~inside]
         by = np.lexsort((example, term))  # by term, then block
         self.post_example, self.post_weight = example[by], weight[by]
         key = term[by] * max(1, self.blocks) + example[by] // BLOCK
@@ -121,37 +132,55 @@ class Index:
         return words[at : at + n]
 
     def _weigh(self, bag: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        terms = np.array(sorted(bag), "i8")
-        values = (1 + np.log(np.array([bag[t] for t in terms.tolist()], float))) * self.idf[terms]
+        terms, counts = np.fromiter(bag.keys(), "i8", len(bag)), np.fromiter(bag.values(), "f8", len(bag))
+        order = terms.argsort()
+        terms = terms[order]
+        values = (1 + np.log(counts[order])) * self.idf[terms]
         return terms, values / np.sqrt((values * values).sum()) if len(terms) else values
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        known = self.vocabulary
-        bag: dict[int, int] = {}
-        for t in _terms(self._best(_WORD.findall((text or "").lower()))):
-            if (k := known.get(t)) is not None:
-                bag[k] = bag.get(k, 0) + 1
+        """Of all words of the text that are known."""
+        if len(self.known) > KEPT_WORDS:
+            self.known.clear()
+        known, bag = self.known, {}
+        for word, n in Counter(_WORD.findall((text or "").lower())).items():
+            own = known.get(word)
+            if own is None:
+                own = known[word] = [k for t in _terms([word]) if (k := self.vocabulary.get(t)) is not None]
+            for k in own:
+                bag[k] = bag.get(k, 0) + n
         return self._weigh(bag)
 
-    def nearest(self, vector: tuple[np.ndarray, np.ndarray], without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples with the largest cosine over 0, and their cosines; ties go to the example drawn first."""
+    def _common(self, vectors: list) -> np.ndarray:
+        """The common terms' part of the cosine of each vector and example."""
+        rows = np.zeros((len(vectors), len(self.matrix)))
+        for row, (terms, values) in zip(rows, vectors, strict=True):
+            at = self.place[terms]
+            row[at[at >= 0]] = values[at >= 0]
+        return rows @ self.matrix
+
+    def nearest(self, vector: tuple[np.ndarray, np.ndarray], without: int = -1, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples with the largest cosine over 0, and their cosines; ties go to the example drawn first. part: the vector's row of _common()."""
         terms, values = vector
-        entries, per = _ranges(self.term_start[terms], self.term_start[terms + 1])
-        if not len(entries):
+        if not len(terms):
             return np.empty(0, "i8"), np.empty(0)
+        part = self._common([vector])[0] if part is None else part
+        entries, per = _ranges(self.term_start[terms], self.term_start[terms + 1])
         values, blocks = np.repeat(values, per), self.entry_block[entries]
-        bound = np.bincount(blocks, values * self.max_weight[entries], self.blocks)
-        scores = np.zeros(self.size)
+        bound = part.reshape(-1, BLOCK).max(1) + np.bincount(blocks, values * self.max_weight[entries], self.blocks)
+        scores, scored = part.copy(), np.zeros(self.blocks, bool)
 
         def best(some: np.ndarray) -> np.ndarray:
-            """Adds the cosines in some blocks, and gives the k best examples of all so far."""
+            """Adds what is missing of the cosines in some blocks, and gives the k best examples of all so far."""
+            scored[some] = True
             inside = some[blocks]
             own = entries[inside]
             posts, per = _ranges(self.entry_start[own], self.entry_start[own + 1])
-            scores[:] += np.bincount(self.post_example[posts], self.post_weight[posts] * np.repeat(values[inside], per), self.size)
+            scores[:] += np.bincount(self.post_example[posts], self.post_weight[posts] * np.repeat(values[inside], per), len(scores))
             if without >= 0:
                 scores[without] = 0
-            found = np.flatnonzero(scores > 0)
+            found = (np.flatnonzero(scored)[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            found = found[scores[found] > 0]
             if len(found) > self.k:  # the k best, with all that tie with the last
                 found = found[scores[found] >= np.partition(scores[found], -self.k)[-self.k] - 1e-11]
             return found[np.lexsort((self.rank[found], -np.round(scores[found], 12)))[: self.k]]
@@ -164,7 +193,7 @@ class Index:
             rest &= bound >= scores[found[-1]] - 1e-11
         if rest.any():
             found = best(rest)
-        return found, scores[found]
+        return found, np.round(scores[found], 12)  # a product's last digits differ with the batch
 
     def _vote(self, found: np.ndarray, cosines: np.ndarray) -> float:
         """Votes weighted by the inverse of the distance 1 - cosine, and a small one of the share of label 1."""
@@ -177,16 +206,34 @@ class Index:
             return
         step = -(-len(vectors) // 4000)  # as many votes as fix two numbers well
         some = range(0, len(vectors), step)
-        votes = np.array([self._vote(*self.nearest(vectors[i], i)) for i in some])
+        near = self._nearest_of([vectors[i] for i in some], list(some))
+        votes = np.array([self._vote(*found) for found in near])
         self.calibration = fit_curve(np.log(votes / (1 - votes)), self.labels[list(some)])
 
+    def _nearest_of(self, vectors: list, without: list[int]):
+        """nearest() of each vector."""
+        for a in range(0, len(vectors), AT_ONCE):
+            parts = self._common(vectors[a : a + AT_ONCE])
+            for k, part in enumerate(parts, a):
+                yield self.nearest(vectors[k], without[k], part)
+
     def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
+        return self.scores([text])[0]
+
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[int], list[float]]]:
+        """Score, neighbours' doc_ids and cosines of each text."""
         if not self.size:
-            return 0.5, [], []
-        found, cosines = self.nearest(self.vector(text))
-        vote = self._vote(found, cosines)
+            return [(0.5, [], [])] * len(texts)
         a, b = self.calibration
-        return float(1 / (1 + np.exp(-(a * np.log(vote / (1 - vote)) + b)))), self.docs[found].tolist(), cosines.tolist()
+        out = []
+        for found, cosines in self._nearest_of([self.vector(t) for t in texts], [-1] * len(texts)):
+            vote = self._vote(found, cosines)
+            out.append((float(1 / (1 + np.exp(-(a * np.log(vote / (1 - vote)) + b)))), self.docs[found].tolist(), cosines.tolist()))
+        return out
+
+    def passage(self, text: str | None) -> str:
+        """The words of the text that go most with the label."""
+        return " ".join(self._best(_WORD.findall((text or "").lower())))
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -232,18 +279,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, settings: Settings = Set
 
 
 def score(docs: DataFrame, index: bytes) -> DataFrame:
-    """doc_id, score, and the neighbours' doc_ids and cosines."""
+    """doc_id, score, the neighbours' doc_ids and cosines, and the passage that goes most with the label."""
     common.small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(parts):
         own = pickle.loads(held.value)
         for part in parts:
-            rows = [own.score(t) for t in part.column(1).to_pylist()]
+            texts = part.column(1).to_pylist()
+            rows = own.scores(texts)
             scores, near, cosines = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), pa.array(near, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64()))], names=["doc_id", "score", "evidence", "cosines"])
+            columns = [pa.array(scores, pa.float64()), pa.array(near, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64())), pa.array(map(own.passage, texts), pa.string())]
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", "score", "evidence", "cosines", "passage"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, evidence array<long>, cosines array<double>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, evidence array<long>, cosines array<double>, passage string")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,6 +61,25 @@ def test_best_window_against_all_windows():
         assert index._best(own) == own[best : best + 5]
 
 
+def test_toxicity_looks_at_all_words_of_a_text():
+    """Wherever a word stands it counts, and so do several insults far apart, in examples and in texts."""
+    rng = np.random.default_rng(9)
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(200)]
+    rows = [(" ".join([*rng.choice(words, 60), *(["vile"] if k % 4 == 0 else []), *rng.choice(words, 60)]), int(k % 4 == 0), k) for k in range(400)]
+    index = toxicity.Index(rows, toxicity.Settings())
+    for text, _, _ in rows[:20]:  # far behind the first words, and far from the most telling ones
+        for more in (" wxx", " vile"):
+            own = text + " waa" * 30
+            terms, values = index.vector(own)
+            assert {index.vocabulary[w] for w in own.split()} <= {*terms.tolist()}
+            assert len(index.vector(own + " " + text)[0]) == len(terms) and (more == " wxx" or not np.array_equal(index.vector(own + more)[1], values))
+        assert {index.vocabulary[w] for w in text.split()} <= {*index.vector("waa " * 500 + text)[0].tolist()}
+    one, two = (index.score(" ".join(["waa"] * 100 + ["vile"] * n + ["wab"] * 100 + ["vile"] * n))[0] for n in (0, 1))
+    assert one < 0.5 < two
+    texts = [t for t, _, _ in rows[:300]] + [None, "", "unknown", "vile"]
+    assert [index.score(t) for t in texts] == index.scores(texts)  # in any batch
+
+
 def test_curve_is_the_best_and_no_order_breaks_it():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(-3, 2, 900), rng.normal(9, 1, 60)])
