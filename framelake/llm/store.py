@@ -36,6 +36,11 @@ def get(uri: str) -> bytes:
         return file.read()
 
 
+def exists(uri: str) -> bool:
+    system, path = _open(uri)
+    return system.get_file_info(path).type != fs.FileType.NotFound
+
+
 def remove(uri: str) -> None:
     """Delete a folder; it may be gone already."""
     system, path = _open(uri)

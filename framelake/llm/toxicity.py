@@ -6,11 +6,13 @@ term's TF-IDF weight is scaled by how far its association with the label exceeds
 reach; no term's scale is zero. Examples are stored in an inverted index of aligned blocks: for each term and block of examples
 the largest weight, which bounds any cosine in the block, and the block's postings. The terms with the most postings are rows of
 a matrix instead, and a batch of queries is multiplied with it, which gives their exact part of all cosines. A query scores the
-blocks with the highest bounds, and then those whose bound reaches the k-th cosine so far, so its k neighbours are exact. Their
+blocks with the highest bounds, and then those whose bound reaches the k-th cosine so far, so its k neighbours are exact; where
+these are many, it reads its terms' postings in whole runs, over all blocks. The neighbours'
 labels vote, weighted by distance; a logistic curve fitted on leave-one-out votes calibrates the score, and the neighbours are
 returned as evidence, with the text's passage of words that go most with the label, which no score depends on.
 
-The index is fitted in one task on a bounded, hash-drawn sample of labelled rows, and broadcast; its size is bounded by it.
+The index is fitted in one task on a bounded, hash-drawn sample of labelled rows, which bounds its size. The task writes it to the
+shared folder, where the workers read it: it does not pass through the driver.
 
 Defined cases: a text without any known term (null or empty too) has no neighbours, and its vote is the share of label 1; a
 very long text is read whole; a null doc_id takes no part in learning; repeated rows are scored each; ties between passages go
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import pickle
 import re
+import uuid
 from collections import Counter
 from dataclasses import dataclass
 
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import common
+from framelake.llm import common, store
 from framelake.llm.quality_model import labelled_sample
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -40,6 +43,11 @@ BLOCK = 64
 COMMON, AT_ONCE = 256, 128
 #: Words whose terms a worker keeps at most.
 KEPT_WORDS = 200_000
+#: All postings of a vector's terms are read at once where no weight is so large that bounds tell blocks apart, or where more
+#: than one in FEW blocks are left.
+PEAK, FEW = 0.4, 8
+#: Runs of so many elements are copied whole.
+LONG = 48
 
 
 @dataclass(frozen=True)
@@ -53,6 +61,10 @@ class Settings:
     floor: float = 0.03
 
 
+def _words(text: str | None) -> list[str]:
+    return _WORD.findall((text or "").lower())
+
+
 def _terms(words: list[str]) -> list[str]:
     return words + [w[:PREFIX] + "-" for w in words if len(w) > PREFIX]
 
@@ -63,11 +75,20 @@ def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum()), sizes
 
 
+def _runs(starts: np.ndarray, ends: np.ndarray, *arrays: np.ndarray) -> list[np.ndarray]:
+    """The arrays' elements at _ranges(), the longest range first; ranges are in descending order of their lengths."""
+    cut = int((ends - starts >= LONG).sum())
+    runs = [slice(*x) for x in zip(starts[:cut].tolist(), ends[:cut].tolist(), strict=True)]
+    rest, _ = _ranges(starts[cut:], ends[cut:])
+    return [np.concatenate([*(a[x] for x in runs), a[rest]]) for a in arrays]
+
+
 class Index:
     def __init__(self, rows: list[tuple[str | None, int, int]], settings: Settings):
         """rows: text, label (0 or 1), doc_id."""
         self.k, self.window, self.known = settings.k, settings.window, {}
-        words = [_WORD.findall((text or "").lower()) for text, _, _ in rows]
+        same: dict[str, str] = {}  # one object a word
+        words = [[same.setdefault(w, w) for w in _words(text)] for text, _, _ in rows]
         self.labels = np.array([y for _, y, _ in rows], float)
         self.docs, self.rank = np.array([d for _, _, d in rows], "i8"), np.arange(len(rows))
         self.share = float((self.labels.sum() + 0.5) / (len(rows) + 1)) if rows else 0.5
@@ -82,11 +103,11 @@ class Index:
         excess = {t: r for t, df in frequency.items() if df > 1 and abs(r := self._association(positive[t], df) / least) > 1}
         self.telling = {t: r - 1 for t, r in excess.items() if r > 0}
         self.vocabulary = {t: k for k, t in enumerate(frequency)}
-        bags = [Counter(_terms(own)) for own in words]
         n = len(rows)
         scale = [settings.floor + max(0.0, abs(excess.get(t, 0.0)) - 1) for t in frequency]
         self.idf = np.log((n + 1) / (np.array(list(frequency.values()), float) + 0.5)) * np.array(scale)
-        vectors = [self._weigh({self.vocabulary[t]: c for t, c in bag.items()}) for bag in bags]
+        vectors = [self._vector(own) for own in words]
+        self.known = {}
         order = sorted(range(n), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]) if len(vectors[i][0]) else -1, i))  # alike examples share blocks
         vectors, self.labels, self.docs, self.rank = [vectors[i] for i in order], self.labels[order], self.docs[order], self.rank[order]
         self.size = n
@@ -131,25 +152,25 @@ class Index:
         at = int(np.round(total[n:] - total[:-n], 9).argmax())
         return words[at : at + n]
 
-    def _weigh(self, bag: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        terms, counts = np.fromiter(bag.keys(), "i8", len(bag)), np.fromiter(bag.values(), "f8", len(bag))
-        order = terms.argsort()
-        terms = terms[order]
-        values = (1 + np.log(counts[order])) * self.idf[terms]
+    def _vector(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Terms in ascending order, and their weights, of all words that are known."""
+        if len(self.known) > KEPT_WORDS:
+            self.known.clear()
+        bag, known, number = Counter(words), self.known, self.vocabulary.get
+        for w in {*bag}.difference(known):  # two terms in one number: the word, and its first letters
+            known[w] = (number(w, -1) + 1 << 32) + (number(w[:PREFIX] + "-", -1) + 1 if len(w) > PREFIX else 0)
+        both = np.fromiter(map(known.__getitem__, bag), "i8", len(bag))
+        counts = np.fromiter(bag.values(), "f8", len(bag))
+        terms = np.concatenate((both >> 32, both & 0xFFFFFFFF)) - 1
+        terms, at = np.unique(terms, return_inverse=True)
+        counts = np.bincount(at, np.concatenate((counts, counts)), len(terms))
+        terms, counts = terms[terms >= 0], counts[terms >= 0]
+        values = (1 + np.log(counts)) * self.idf[terms]
         return terms, values / np.sqrt((values * values).sum()) if len(terms) else values
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Of all words of the text that are known."""
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        known, bag = self.known, {}
-        for word, n in Counter(_WORD.findall((text or "").lower())).items():
-            own = known.get(word)
-            if own is None:
-                own = known[word] = [k for t in _terms([word]) if (k := self.vocabulary.get(t)) is not None]
-            for k in own:
-                bag[k] = bag.get(k, 0) + n
-        return self._weigh(bag)
+        return self._vector(_words(text))
 
     def _common(self, vectors: list) -> np.ndarray:
         """The common terms' part of the cosine of each vector and example."""
@@ -165,34 +186,53 @@ class Index:
         if not len(terms):
             return np.empty(0, "i8"), np.empty(0)
         part = self._common([vector])[0] if part is None else part
-        entries, per = _ranges(self.term_start[terms], self.term_start[terms + 1])
-        values, blocks = np.repeat(values, per), self.entry_block[entries]
-        bound = part.reshape(-1, BLOCK).max(1) + np.bincount(blocks, values * self.max_weight[entries], self.blocks)
+        starts, ends = self.term_start[terms], self.term_start[terms + 1]
+        own = ends > starts  # the other terms are in part
+        values, starts, ends, top = values[own], starts[own], ends[own], values.max()
         scores, scored = part.copy(), np.zeros(self.blocks, bool)
 
-        def best(some: np.ndarray) -> np.ndarray:
-            """Adds what is missing of the cosines in some blocks, and gives the k best examples of all so far."""
-            scored[some] = True
-            inside = some[blocks]
-            own = entries[inside]
-            posts, per = _ranges(self.entry_start[own], self.entry_start[own + 1])
-            scores[:] += np.bincount(self.post_example[posts], self.post_weight[posts] * np.repeat(values[inside], per), len(scores))
+        def best() -> np.ndarray:
+            """The k best examples of all scored blocks."""
             if without >= 0:
                 scores[without] = 0
-            found = (np.flatnonzero(scored)[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            found = found[scores[found] > 0]
+            found = np.flatnonzero((scores.reshape(-1, BLOCK) > 0) & scored[:, None])
             if len(found) > self.k:  # the k best, with all that tie with the last
-                found = found[scores[found] >= np.partition(scores[found], -self.k)[-self.k] - 1e-11]
+                some = scores[found]
+                found = found[some >= np.partition(some, -self.k)[-self.k] - 1e-11]
             return found[np.lexsort((self.rank[found], -np.round(scores[found], 12)))[: self.k]]
 
-        first = np.zeros(self.blocks, bool)
-        first[np.argpartition(bound, -min(4, self.blocks))[-min(4, self.blocks) :]] = True
-        found = best(first)
-        rest = ~first & (bound > 0)
-        if len(found) == self.k:  # blocks whose bound is lower have no better example
-            rest &= bound >= scores[found[-1]] - 1e-11
+        rest, found = np.ones(self.blocks, bool), np.empty(0, "i8")
+        if top >= PEAK:
+            entries, per = _ranges(starts, ends)
+            weights, blocks = np.repeat(values, per), self.entry_block[entries]
+            bound = part.reshape(-1, BLOCK).max(1) + np.bincount(blocks, weights * self.max_weight[entries], self.blocks)
+
+            def add(some: np.ndarray) -> None:
+                """Adds what is missing of the cosines in some blocks."""
+                inside = some[blocks]
+                own = entries[inside]
+                posts, per = _ranges(self.entry_start[own], self.entry_start[own + 1])
+                scores[:] += np.bincount(self.post_example[posts], self.post_weight[posts] * np.repeat(weights[inside], per), len(scores))
+                scored[some] = True
+
+            first = np.zeros(self.blocks, bool)
+            first[np.argpartition(bound, -min(4, self.blocks))[-min(4, self.blocks) :]] = True
+            add(first)
+            found = best()
+            rest = ~first & (bound > 0)
+            if len(found) == self.k:  # blocks whose bound is lower have no better example
+                rest &= bound >= scores[found[-1]] - 1e-11
+            if rest.any() and rest.sum() * FEW <= self.blocks:
+                add(rest)
+                found, rest = best(), rest & False
         if rest.any():
-            found = best(rest)
+            starts, ends = self.entry_start[starts], self.entry_start[ends]
+            order = np.argsort(starts - ends)
+            values, starts, ends = values[order], starts[order], ends[order]
+            examples, weights = _runs(starts, ends, self.post_example, self.post_weight)
+            scores[:] = part + np.bincount(examples, weights * np.repeat(values, ends - starts), len(scores))
+            scored[:] = True
+            found = best()
         return found, np.round(scores[found], 12)  # a product's last digits differ with the batch
 
     def _vote(self, found: np.ndarray, cosines: np.ndarray) -> float:
@@ -222,18 +262,22 @@ class Index:
 
     def scores(self, texts: list[str | None]) -> list[tuple[float, list[int], list[float]]]:
         """Score, neighbours' doc_ids and cosines of each text."""
+        return self._scores([_words(t) for t in texts])
+
+    def _scores(self, texts: list[list[str]]) -> list[tuple[float, list[int], list[float]]]:
         if not self.size:
             return [(0.5, [], [])] * len(texts)
         a, b = self.calibration
         out = []
-        for found, cosines in self._nearest_of([self.vector(t) for t in texts], [-1] * len(texts)):
+        for found, cosines in self._nearest_of([self._vector(words) for words in texts], [-1] * len(texts)):
             vote = self._vote(found, cosines)
             out.append((float(1 / (1 + np.exp(-(a * np.log(vote / (1 - vote)) + b)))), self.docs[found].tolist(), cosines.tolist()))
         return out
 
-    def passage(self, text: str | None) -> str:
-        """The words of the text that go most with the label."""
-        return " ".join(self._best(_WORD.findall((text or "").lower())))
+    def judge(self, texts: list[str | None]) -> list[tuple[float, list[int], list[float], str]]:
+        """scores(), and the words of each text that go most with the label."""
+        words = [_words(t) for t in texts]
+        return [(*found, " ".join(self._best(own))) for found, own in zip(self._scores(words), words, strict=True)]
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -266,30 +310,51 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(p[0]), float(p[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, settings: Settings = Settings()) -> bytes:
-    """A pickled Index."""
+def fit(docs: DataFrame, labels: DataFrame, label: str, settings: Settings = Settings()) -> str:
+    """Where a pickled Index lies, in a folder of its own in the shared folder."""
     sample = labelled_sample(docs, labels, label, settings.rows, settings.chars).withColumn("one", F.lit(0))
+    folder = common.fresh_path(docs.sparkSession, "toxicity")
+
+    def write(index: Index) -> str:
+        store.make_dir(folder)
+        store.put(path := f"{folder}/{uuid.uuid4().hex}", pickle.dumps(index, 5))  # each attempt of a task has its own
+        return path
 
     def run(table):
         rows = sorted(zip(*(table.column(c).to_pylist() for c in ("order", "label", "text", "doc_id")), strict=True), key=lambda r: (r[0], r[1], r[2] or ""))
-        return pa.table({"index": [pickle.dumps(Index([(t, int(y > 0), d) for _, y, t, d in rows], settings))]})
+        path = write(Index([(t, int(y > 0), d) for _, y, t, d in rows], settings))
+        common.trim()
+        return pa.table({"path": [path]})
+
+    got = sample.groupBy("one").applyInArrow(run, "path string").collect()
+    if got:
+        return got[0][0]
+    if store.exists(folder):
+        raise RuntimeError(f"an index was written to {folder}, but its path did not come back")
+    return write(Index([], settings))
+
+
+_LOADED: dict[str, Index] = {}
+
 
-    got = sample.groupBy("one").applyInArrow(run, "index binary").collect()
-    return bytes(got[0][0]) if got else pickle.dumps(Index([], settings))
+def load(path: str) -> Index:
+    """The index that fit() has written; a worker keeps the last one for its next tasks."""
+    if path not in _LOADED:
+        _LOADED.clear()
+        _LOADED[path] = pickle.loads(store.get(path))
+    return _LOADED[path]
 
 
-def score(docs: DataFrame, index: bytes) -> DataFrame:
-    """doc_id, score, the neighbours' doc_ids and cosines, and the passage that goes most with the label."""
+def score(docs: DataFrame, index: str) -> DataFrame:
+    """doc_id, score, the neighbours' doc_ids and cosines, and the passage that goes most with the label. index: from fit()."""
     common.small_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(parts):
-        own = pickle.loads(held.value)
+        own = load(index)
         for part in parts:
-            texts = part.column(1).to_pylist()
-            rows = own.scores(texts)
-            scores, near, cosines = zip(*rows, strict=True) if rows else ((), (), ())
-            columns = [pa.array(scores, pa.float64()), pa.array(near, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64())), pa.array(map(own.passage, texts), pa.string())]
+            rows = own.judge(part.column(1).to_pylist())
+            kinds = (pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.string())
+            columns = [pa.array(x, kind) for x, kind in zip(list(zip(*rows, strict=True)) or [()] * 4, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", "score", "evidence", "cosines", "passage"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, evidence array<long>, cosines array<double>, passage string")

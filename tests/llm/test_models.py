@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from framelake.llm import common, language, quality_model, toxicity
 from pyspark.sql import functions as F
 
@@ -106,6 +107,41 @@ def test_toxicity_held_out_in_any_order_of_rows(spark):
         assert np.mean([s >= 0.5 for s, y in scores if y]) >= 0.85 and np.mean([s >= 0.5 for s, y in scores if not y]) < 0.02
 
 
+def test_toxicity_index_stays_out_of_the_driver(spark, monkeypatch):
+    """A driver short of memory once got nothing of a large index from collect(), without an error, and every score was 0.5."""
+    docs = common.documents(spark, SF)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    path = toxicity.fit(docs, labels, "toxic")
+    assert len(path) < 1000 and toxicity.load(path).size > 300
+    scores = [r.score for r in toxicity.score(docs, path).collect()]
+    assert len({*scores}) > 300 and min(scores) < 0.1 and max(scores) > 0.9
+    collect = type(docs).collect
+    with monkeypatch.context() as lost:
+        lost.setattr(type(docs), "collect", lambda self: collect(self)[:0])
+        with pytest.raises(RuntimeError, match="did not come back"):
+            toxicity.fit(docs, labels, "toxic")
+
+
+def test_toxicity_neighbours_are_the_same_by_blocks_and_whole(monkeypatch):
+    rng = np.random.default_rng(3)
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}x" for k in range(676)]
+    rows = [(" ".join([*rng.choice(words, int(rng.integers(1, 120))), *(["vile"] if k % 9 == 0 else [])]), int(k % 9 == 0), k) for k in range(900)]
+    index = toxicity.Index(rows, toxicity.Settings())
+    texts = [t for t, _, _ in rows[::7]] + ["vile", "waax", "vile waax wabx", "unknown"]
+    vectors = [index.vector(t) for t in texts]
+    dense = np.zeros((len(rows), len(index.vocabulary)))
+    for k, (t, _, _) in enumerate(rows):
+        terms, values = index.vector(t)
+        dense[k, terms] = values
+    for peak, few, long in ((0.4, 8, 48), (0.0, 1, 48), (0.0, 10**9, 2), (2.0, 8, 2), (2.0, 8, 10**9)):
+        for name, value in (("PEAK", peak), ("FEW", few), ("LONG", long)):
+            monkeypatch.setattr(toxicity, name, value)
+        for (terms, values), (found, cosines) in zip(vectors, index._nearest_of(vectors, [-1] * len(vectors)), strict=True):
+            exact = dense[:, terms] @ values
+            best = sorted((k for k in range(len(rows)) if exact[k] > 0), key=lambda k: (-round(exact[k], 12), k))[: index.k]
+            assert index.docs[found].tolist() == best and np.allclose(cosines, exact[best])
+
+
 def test_quality_training_against_plain_updates():
     """Follow the regularised leader with dictionaries, one weight at a time."""
     rng = np.random.default_rng(2)
