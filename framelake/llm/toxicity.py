@@ -40,14 +40,16 @@ _WORD = re.compile(r"[^\W\d_]+")
 PREFIX = 5
 BLOCK = 64
 #: Terms with the most postings, whose weights are a matrix; vectors that are multiplied with it at once.
-COMMON, AT_ONCE = 256, 128
+COMMON, AT_ONCE = 512, 128
 #: Words whose terms a worker keeps at most.
 KEPT_WORDS = 200_000
 #: All postings of a vector's terms are read at once where no weight is so large that bounds tell blocks apart, or where more
 #: than one in FEW blocks are left.
-PEAK, FEW = 0.4, 8
-#: Runs of so many elements are copied whole.
+PEAK, FEW = 0.7, 8
+#: Runs of so many postings are copied whole.
 LONG = 48
+#: A posting, which is copied as one number.
+POSTING = np.dtype([("example", "i4"), ("weight", "f4")])
 
 
 @dataclass(frozen=True)
@@ -75,12 +77,11 @@ def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum()), sizes
 
 
-def _runs(starts: np.ndarray, ends: np.ndarray, *arrays: np.ndarray) -> list[np.ndarray]:
-    """The arrays' elements at _ranges(), the longest range first; ranges are in descending order of their lengths."""
+def _runs(starts: np.ndarray, ends: np.ndarray, array: np.ndarray) -> np.ndarray:
+    """The array's elements at _ranges(), where these are in descending order of their lengths."""
     cut = int((ends - starts >= LONG).sum())
-    runs = [slice(*x) for x in zip(starts[:cut].tolist(), ends[:cut].tolist(), strict=True)]
     rest, _ = _ranges(starts[cut:], ends[cut:])
-    return [np.concatenate([*(a[x] for x in runs), a[rest]]) for a in arrays]
+    return np.concatenate([*map(array.__getitem__, map(slice, starts[:cut].tolist(), ends[:cut].tolist())), array[rest]])
 
 
 class Index:
@@ -123,11 +124,14 @@ class Index:
         self.matrix[self.place[term[inside]], example[inside]] = weight[inside]
         term, weight, example = term[~inside], weight[~inside], example[~inside]
         by = np.lexsort((example, term))  # by term, then block
-        self.post_example, self.post_weight = example[by], weight[by]
+        postings = np.empty(len(by), POSTING)
+        postings["example"], postings["weight"] = example[by], weight[by]
+        self.postings = postings.view("u8")
         key = term[by] * max(1, self.blocks) + example[by] // BLOCK
         cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.array([], int)
         self.max_weight = np.maximum.reduceat(weight[by], cut) if len(key) else np.empty(0)
-        self.entry_block, self.entry_start = (key[cut] % max(1, self.blocks)).astype("i8"), np.append(cut, len(key))
+        self.max_weight, self.entry_block = self.max_weight.astype("f4"), (key[cut] % max(1, self.blocks)).astype("i4")
+        self.entry_start = np.append(cut, len(key))
         self.term_start = np.searchsorted(key[cut] // max(1, self.blocks), np.arange(len(self.vocabulary) + 1))
         self.calibration = (1.0, 0.0)
         self._calibrate(vectors)
@@ -166,7 +170,7 @@ class Index:
         counts = np.bincount(at, np.concatenate((counts, counts)), len(terms))
         terms, counts = terms[terms >= 0], counts[terms >= 0]
         values = (1 + np.log(counts)) * self.idf[terms]
-        return terms, values / np.sqrt((values * values).sum()) if len(terms) else values
+        return terms, (values / np.sqrt((values * values).sum())).astype("f4").astype("f8") if len(terms) else values  # as postings hold them
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Of all words of the text that are known."""
@@ -195,10 +199,9 @@ class Index:
             """The k best examples of all scored blocks."""
             if without >= 0:
                 scores[without] = 0
-            found = np.flatnonzero((scores.reshape(-1, BLOCK) > 0) & scored[:, None])
-            if len(found) > self.k:  # the k best, with all that tie with the last
-                some = scores[found]
-                found = found[some >= np.partition(some, -self.k)[-self.k] - 1e-11]
+            some = scores if scored.all() else np.where(np.repeat(scored, BLOCK), scores, 0)
+            least = np.partition(some, -self.k)[-self.k] if len(some) > self.k else 0.0
+            found = np.flatnonzero((some >= least - 1e-11) & (some > 0))  # with all that tie with the last
             return found[np.lexsort((self.rank[found], -np.round(scores[found], 12)))[: self.k]]
 
         rest, found = np.ones(self.blocks, bool), np.empty(0, "i8")
@@ -211,8 +214,9 @@ class Index:
                 """Adds what is missing of the cosines in some blocks."""
                 inside = some[blocks]
                 own = entries[inside]
-                posts, per = _ranges(self.entry_start[own], self.entry_start[own + 1])
-                scores[:] += np.bincount(self.post_example[posts], self.post_weight[posts] * np.repeat(weights[inside], per), len(scores))
+                at, per = _ranges(self.entry_start[own], self.entry_start[own + 1])
+                posts = self.postings[at].view(POSTING)
+                scores[:] += np.bincount(posts["example"], posts["weight"] * np.repeat(weights[inside], per), len(scores))
                 scored[some] = True
 
             first = np.zeros(self.blocks, bool)
@@ -229,8 +233,8 @@ class Index:
             starts, ends = self.entry_start[starts], self.entry_start[ends]
             order = np.argsort(starts - ends)
             values, starts, ends = values[order], starts[order], ends[order]
-            examples, weights = _runs(starts, ends, self.post_example, self.post_weight)
-            scores[:] = part + np.bincount(examples, weights * np.repeat(values, ends - starts), len(scores))
+            posts = _runs(starts, ends, self.postings).view(POSTING)
+            scores[:] = part + np.bincount(posts["example"], posts["weight"] * np.repeat(values, ends - starts), len(scores))
             scored[:] = True
             found = best()
         return found, np.round(scores[found], 12)  # a product's last digits differ with the batch
